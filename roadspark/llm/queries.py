@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, mixing
+from . import chat, fingerprints, jaccard, licenses, mixing
 
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
-    return {"op4_chat_perspectives": chat.query, "op7_license_scan": licenses.query, "op8_source_mixing": mixing.query}
+    return {"op2_merkle_fingerprints": fingerprints.query, "op3_ngram_jaccard": jaccard.query, "op4_chat_perspectives": chat.query, "op7_license_scan": licenses.query, "op8_source_mixing": mixing.query}
 
 
 def oracle_sql() -> dict[str, str]:

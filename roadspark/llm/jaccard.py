@@ -12,10 +12,10 @@ n - ceil(0.8 n) + 1 tokens. Three orders filter candidates, and only their inter
 2., 3. two orders by other hashes: a pair must share a token of both prefixes. They are kept as
    bitmaps of 256 bits, which never miss a shared token.
 
-No posting list emits all its pairs: neighbours by size and the list's first member are verified
-first, and the components of these links leave only pairs across components, of which each has a
-member outside its list's largest component. These are all verified too, so no link between
-different components is lost. The result does not depend on which tokens count as frequent.
+No posting list emits all its pairs: its members are first held against a few members of its largest
+component, in rounds, and only pairs across components are left for the last round, each with a
+member outside its list's largest component. These are all verified, so no link between different
+components is lost. The result does not depend on which tokens count as frequent, nor on the hubs.
 
 Edge cases: null or wordless text has the empty set, size 0, and its own component; fewer than five
 words make one shingle; rows that repeat a doc_id count as one document with the links of all its
@@ -36,10 +36,12 @@ from ._spark import Scratch, components, partitions, table
 
 WIDTH, PERCENT = 5, 80
 #: Tokens of one window of the corpus, the count from which a token of it is frequent, and the most frequent tokens kept.
-WINDOW, OFTEN, MOST = 1 << 21, 4, 1 << 18
+WINDOW, OFTEN, MOST = 1 << 22, 2, 1 << 20
 #: Words of an order's bitmap, and bits (a power of two) of the filter of documents to verify.
 BITMAP, FILTER_BITS = 4, 1 << 24
 GROUP = 64
+#: Members of a list's largest component that the others are held against, by round, before all pairs that are left.
+HUBS = (1, 8)
 
 PASS1 = "kind int, doc_id long, n long, d1 long, d2 long, sig array<long>"
 POSTING = "token long, node long, n int, pos int"
@@ -153,8 +155,8 @@ class Join:
         self.sets = found.where("kind = 0").drop("kind")
         often = found.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST)
         self.often = often.toPandas()  # at most MOST rows; any choice of them gives the same links
-        best = self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.min("doc_id").alias("rep"))
-        self.classes = self.scratch.keep(best.where("rep is not null").select(F.col("d1").alias("node"), "d2", "n", "rep", F.col("m.sig").alias("sig")), "classes")
+        best = self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        self.classes = self.scratch.keep(best.where("rep is not null").select(F.col("d1").alias("node"), "d2", "n", "rep", F.col("m.sig").alias("sig"), "copies"), "classes")
 
     def postings(self) -> DataFrame:
         """The tokens of first-order prefixes that two classes or more share."""
@@ -162,10 +164,9 @@ class Join:
         ranks = np.minimum(255, 1 + 16 * np.log2(np.maximum(1, self.often["n"].to_numpy(np.float64) / OFTEN))).astype(np.uint64)
         by = np.argsort(tokens)
         raw = self.docs.select("text").mapInArrow(_postings(tokens[by], ranks[by], self.width, self.percent), POSTING)
-        whole = Window.partitionBy("token").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        near = Window.partitionBy("token").orderBy("n", "node")
-        marked = raw.select("*", F.min("node").over(whole).alias("hub"), F.max("node").over(whole).alias("top"), F.lag("node").over(near).alias("last"))
-        return self.scratch.keep(marked.where("hub <> top").drop("top"), "postings")
+        whole = Window.partitionBy("token")
+        marked = raw.select("*", F.min("node").over(whole).alias("low"), F.max("node").over(whole).alias("high"))
+        return self.scratch.keep(marked.where("low <> high").drop("low", "high"), "postings")
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """Distinct (x, y) nodes -> (ra, rb) representatives that pass the length filter and share both other prefixes."""
@@ -193,34 +194,52 @@ class Join:
         n = partitions(self.spark)
         return rows.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role").mapInArrow(_verify(self.width, self.percent), "a long, b long")
 
-    def links(self) -> DataFrame:
-        """Verified links (a, b) of class representatives that connect every component of the join."""
-        keep = self.scratch.keep
-        postings = self.postings()
-        near = postings.select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).union(postings.where("last is not null").select(F.least("node", "last"), F.greatest("node", "last")))
-        tried = keep(self.candidates(near.where("x <> y").distinct()), "tried")
-        ids = self.sets.where("n > 0").join(self.classes.withColumnRenamed("node", "d1"), ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
-        first = keep(self.verified(tried).union(ids), "links-1")
-        comp = keep(components(self.spark, first, self.scratch, "cc-1"), "comp-1")
-        label = self.classes.join(comp.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select("node", F.coalesce("comp", "rep").alias("comp"))
-        lists = postings.select("token", "node", "n", "pos").join(label.groupBy("node").agg(F.min("comp").alias("comp")), "node")
-        counted = lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        mixed = counted.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.comp").alias("main"))
-        lists = keep(lists.join(mixed, "token"), "mixed")
+    def across(self, postings: DataFrame, comp: DataFrame, hubs: int | None) -> DataFrame:
+        """Distinct pairs (x, y) of one list and two components, but for those within the list's largest component.
+
+        With hubs, only pairs with so many members of the largest component, those with most copies first.
+        """
+        label = self.classes.join(comp.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").groupBy("node").agg(F.min(F.coalesce("comp", "rep")).alias("comp"), F.max("copies").alias("copies"))
+        lists = postings.join(label, "node")
+        groups = lists.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("copies").alias("most"))
+        mixed = groups.groupBy("token").agg(F.max(F.struct("c", "most", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.comp").alias("main"))
+        lists = lists.join(mixed, "token")
         left = lists.where("comp <> main").select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "pos", "comp")))
-        right = lists.select("token", "main", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "comp")))
+        right = lists
+        if hubs:
+            place = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("copies"), "node"))
+            right = right.where("comp = main").withColumn("place", place).where(F.col("place") <= hubs)
+        right = right.select("token", "main", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "pos", "comp")))
         room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
         apart = (F.col("comp1") != F.col("comp2")) & ((F.col("comp2") == F.col("main")) | (F.col("node1") < F.col("node2")))
         could = room * (100 + self.percent) >= (F.col("n1") + F.col("n2")) * self.percent
         fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * self.percent
-        rest = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & apart & could & fits).select(F.least("node1", "node2").alias("x"), F.greatest("node1", "node2").alias("y")).distinct()
-        untried = keep(self.candidates(rest).join(tried, ["ra", "rb"], "left_anti"), "untried")
-        second = keep(self.verified(untried), "links-2")
-        return first.union(second)
+        rows = left.alias("l").join(right.alias("r"), (F.col("l.token") == F.col("r.token")) & apart & could & fits)
+        return rows.select(F.least("node1", "node2").alias("x"), F.greatest("node1", "node2").alias("y")).distinct()
+
+    def links(self) -> DataFrame:
+        """Verified links (a, b) of class representatives that connect every component of the join.
+
+        Rounds with HUBS members of each list's largest component settle most of it; the last round
+        takes all pairs across components that are left.
+        """
+        keep = self.scratch.keep
+        postings = self.postings()
+        ids = self.sets.where("n > 0").join(self.classes.withColumnRenamed("node", "d1"), ["d1", "d2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+        links, tried = keep(ids, "links-0"), None
+        for k, hubs in enumerate([*HUBS, None], 1):
+            comp = keep(components(self.spark, links, self.scratch, f"cc-{k}"), f"comp-{k}")
+            pairs = self.candidates(self.across(postings, comp, hubs))
+            if tried is not None:
+                pairs = pairs.join(tried, ["ra", "rb"], "left_anti")
+            pairs = keep(pairs, f"tried-{k}")
+            tried = pairs if tried is None else tried.union(pairs)
+            links = links.union(keep(self.verified(pairs), f"links-{k}"))
+        return links
 
     def members(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
-        comp = components(self.spark, self.links(), self.scratch, "cc-2")
+        comp = components(self.spark, self.links(), self.scratch, "cc")
         label = self.classes.join(comp.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select(F.col("node").alias("d1"), "d2", "n", F.coalesce("comp", "rep").alias("component_id"))
         rows = self.sets.select("doc_id", "d1", "d2", "n").join(label, ["d1", "d2", "n"], "left")
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprints, jaccard, licenses, mixing
+from . import chat, fingerprints, jaccard, langid, licenses, mixing, quality
 
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
-    return {"op2_merkle_fingerprints": fingerprints.query, "op3_ngram_jaccard": jaccard.query, "op4_chat_perspectives": chat.query, "op7_license_scan": licenses.query, "op8_source_mixing": mixing.query}
+    return {"op1_quality_bayes": quality.query, "op2_merkle_fingerprints": fingerprints.query, "op3_ngram_jaccard": jaccard.query, "op4_chat_perspectives": chat.query, "op7_license_scan": licenses.query, "op8_source_mixing": mixing.query, "op10_language_viterbi": langid.query}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -91,3 +91,11 @@ def running_sum(df: DataFrame, order: list, value, name: str, scratch: Scratch,
     within = F.sum("_v").over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     # base has one row for each range: its size is bounded by the number of partitions
     return parts.join(F.broadcast(base), "_pid").withColumn(name, F.coalesce(within, F.lit(0)) + F.col("_base")).drop("_v", "_pid", "_base")
+
+
+def range_of(key: Column, bounds: list[int], lo: int = 0) -> Column:
+    """How many bounds are <= key, as a binary search."""
+    if not bounds:
+        return F.lit(lo)
+    mid = len(bounds) // 2
+    return F.when(key < bounds[mid], range_of(key, bounds[:mid], lo)).otherwise(range_of(key, bounds[mid + 1 :], lo + mid + 1))

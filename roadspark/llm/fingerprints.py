@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._spark import partitions, table
+from ._spark import partitions, range_of, table
 
 PIECE, SECTION = 4, 4
 FIRST = -(1 << 63)
@@ -151,14 +151,6 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(held)
 
 
-def _place(key: Column, bounds: list[int], lo: int = 0) -> Column:
-    """How many bounds are <= key, as a binary search."""
-    if not bounds:
-        return F.lit(lo)
-    mid = len(bounds) // 2
-    return F.when(key < bounds[mid], _place(key, bounds[:mid], lo)).otherwise(_place(key, bounds[mid + 1 :], lo + mid + 1))
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """op2's rows for documents (doc_id, text).
 
@@ -169,7 +161,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(FIRST))
     n = partitions(spark)
     marks = docs.select(key.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    pid = _place(key, sorted({int(x) for x in marks}))
+    pid = range_of(key, sorted({int(x) for x in marks}))
     rows = docs.select(pid.alias("pid"), F.lit(False).alias("sentinel"), key.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     firsts = sorted(tuple(r) for r in rows.groupBy("pid").agg(F.min("k")).collect())
     if not firsts:

@@ -36,7 +36,7 @@ from ._spark import Scratch, components, partitions, table
 
 WIDTH, PERCENT = 5, 80
 #: Tokens of one window of the corpus, the count from which a token of it is frequent, and the most frequent tokens kept.
-WINDOW, OFTEN, MOST = 1 << 22, 2, 1 << 20
+WINDOW, OFTEN, MOST = 1 << 22, 2, 1 << 18
 #: Words of an order's bitmap, and bits (a power of two) of the filter of documents to verify.
 BITMAP, FILTER_BITS = 4, 1 << 24
 GROUP = 64
@@ -154,14 +154,15 @@ class Join:
         found = self.scratch.keep(self.docs.mapInArrow(_digests(width, percent), PASS1), "digests")
         self.sets = found.where("kind = 0").drop("kind")
         often = found.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST)
-        self.often = often.toPandas()  # at most MOST rows; any choice of them gives the same links
+        often = often.toPandas()  # at most MOST rows; any choice of them gives the same links
+        self.often = often["d1"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.float64)
         best = self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
         self.classes = self.scratch.keep(best.where("rep is not null").select(F.col("d1").alias("node"), "d2", "n", "rep", F.col("m.sig").alias("sig"), "copies"), "classes")
 
     def postings(self) -> DataFrame:
         """The tokens of first-order prefixes that two classes or more share."""
-        tokens = self.often["d1"].to_numpy(np.int64).view(np.uint64)
-        ranks = np.minimum(255, 1 + 16 * np.log2(np.maximum(1, self.often["n"].to_numpy(np.float64) / OFTEN))).astype(np.uint64)
+        tokens, counts = self.often
+        ranks = np.minimum(255, 1 + 16 * np.log2(np.maximum(1, counts / OFTEN))).astype(np.uint64)
         by = np.argsort(tokens)
         raw = self.docs.select("text").mapInArrow(_postings(tokens[by], ranks[by], self.width, self.percent), POSTING)
         whole = Window.partitionBy("token")

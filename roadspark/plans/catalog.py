@@ -1,13 +1,224 @@
-"""Registry of the engine's queries and their DuckDB oracles."""
+"""The engine's queries over the derived fixtures, with their DuckDB oracles."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadspark.functions import geo, roads
+from roadspark.operators import graph, paths, routing, stats
+
+from . import fixtures as fx
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return graph.shard_nodes(graph.unique_nodes(fx.nodes(s, d)))
+
+
+def _attached(s: SparkSession, d: str, mode: str = "time_s") -> DataFrame:
+    return graph.weighted(graph.attach(graph.way_edges(fx.ways(s, d)), _nodes(s, d)), mode)
+
+
+def keeper(spark: SparkSession):
+    """keep(df, name): a table in spark.checkpoint.dir (a temporary folder where that is unset)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    root = f"{root}/roads-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    return keep
+
+
+def way_edges(s, d):
+    return graph.way_edges(fx.ways(s, d)).select("way_id", "seq", "u", "v", "direction", "highway")
+
+
+def order_way_edges(s, d):
+    lines = s.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").cast("long").alias("k"))
+    refs = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "k"))), lambda x: x["k"]).alias("node_refs"))
+    side = F.when(F.col("o_orderstatus") == "F", "yes").when(F.col("o_orderstatus") == "P", "-1").alias("oneway")
+    orders = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", side)
+    ways = refs.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").cast("long").alias("way_id"), "node_refs", "oneway")
+    return graph.way_edges(ways, keep=(), only_driveable=False)
+
+
+def edge_speed(s, d):
+    return graph.way_edges(fx.ways(s, d)).withColumn("kph", graph.edge_kph()).select("way_id", "seq", "u", "v", "direction", F.round("kph", 6).alias("kph"))
+
+
+def edge_weight_time(s, d):
+    return _attached(s, d).select("way_id", "u", "v", "direction", "weight")
+
+
+def edge_weight_distance(s, d):
+    return _attached(s, d, "distance_m").select("way_id", "u", "v", "direction", "weight")
+
+
+def node_shards(s, d):
+    return _nodes(s, d).select("id", "shard_id", geo.unsigned(F.col("shard_id")).alias("shard_text"))
+
+
+def _tiles(s, d):
+    k = F.col("n_nationkey").cast("int")
+    corner = [F.round(F.lit(51.5) + (k % 5) * 0.25, 6), F.round(F.lit(-1.0) + F.floor(k / 5) * 5.5, 6)]
+    far = [F.round(corner[0] + 0.535932, 6), F.round(corner[1] + 5.535932, 6)]
+    return s.read.parquet(f"{d}/nation.parquet").select(k.alias("n"), geo.tile_name(corner[0], corner[1], far[0], far[1]).alias("name"))
+
+
+def tile_bbox_decode(s, d):
+    box, core = geo.tile_box(F.col("name")), geo.tile_box(F.col("name"), core=True)
+    rows = _tiles(s, d).withColumn("b", box).withColumn("c", core)
+    return rows.select("n", "name", *(F.round(f"b.{c}", 6).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")), *(F.round(f"c.{c}", 6).alias(f"core_{c}") for c in ("min_lon", "min_lat")))
+
+
+def tile_core_owner(s, d):
+    tiles = _tiles(s, d).withColumn("box", geo.tile_box(F.col("name"), core=True)).select("name", "box")
+    # one row for each nation: at most 25
+    owned = _nodes(s, d).join(F.broadcast(tiles), geo.in_box(F.col("x"), F.col("y"), F.col("box")))
+    return owned.groupBy("name").agg(F.count("*").alias("owned_nodes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("id").alias("sum_id"))
+
+
+def internal_edges(s, d):
+    return graph.internal(_attached(s, d)).select("u", "v", "weight", F.col("shard_u").alias("shard_id"))
+
+
+def bridge_edges(s, d):
+    return graph.bridges(_attached(s, d)).select("u", "v", "weight", "shard_u", "shard_v")
+
+
+def bridge_summary(s, d):
+    return bridge_edges(s, d).groupBy("shard_u", "shard_v").agg(F.count("*").alias("edges"), F.sum("weight").alias("total_weight"))
+
+
+def boundary_in(s, d):
+    return graph.boundary_in(_attached(s, d))
+
+
+def boundary_out(s, d):
+    return graph.boundary_out(_attached(s, d))
+
+
+def boundary_locations(s, d):
+    return graph.boundary_locations(_attached(s, d), _nodes(s, d))
+
+
+def dangling_edges(s, d):
+    found = graph.dangling(graph.way_edges(fx.ways(s, d)), _nodes(s, d).where("id % 97 <> 0"))
+    return found.select("way_id", "seq", "u", "v", "direction", "missing")
+
+
+def dedup_nodes_join(s, d):
+    twice = fx.nodes(s, d).union(fx.nodes(s, d).where("id % 50 = 0").select("id", F.col("x") + 1, F.col("y") + 1))
+    joined = graph.attach(graph.way_edges(fx.ways(s, d)), graph.shard_nodes(graph.unique_nodes(twice)))
+    return joined.groupBy("way_id").agg(F.count("*").alias("edges"), F.round(F.sum("x_u"), 6).alias("sum_x"))
+
+
+def shard_graph_stats(s, d):
+    rows = graph.shard_graphs(_attached(s, d), _nodes(s, d))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return rows.select("shard_id", size("edges").alias("edges"), size("locations").alias("nodes"), F.array_join(F.coalesce("boundary_in", F.array().cast("array<long>")), ",").alias("boundary_in"), size("boundary_out").alias("boundary_out"))
+
+
+def sssp_nation(s, d):
+    u = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("u"))
+    w = F.col("u") * 13 % 17
+    edges = u.select("u", ((F.col("u") + 1) % 25).alias("v"), w.alias("weight")).union(u.select("u", (F.col("u") * 7 + 3) % 25, w))
+    seeds = u.select(F.col("u").alias("source"), F.col("u").alias("node"), F.lit(0).cast("long").alias("dist"))
+    return paths.relax(edges, seeds, ["source"], keeper(s)).select("source", "node", "dist")
+
+
+def khop_dist(s, d):
+    edges = _attached(s, d).select("u", "v", "weight")
+    seeds = _nodes(s, d).where("id = 0").select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist"))
+    return paths.relax(edges, seeds, ["source"], keeper(s), rounds=6).select("node", "dist")
+
+
+def _shortcuts(s, d, edges):
+    return paths.shortcuts(edges, graph.boundary_in(edges), graph.boundary_out(edges))
+
+
+def shortcuts(s, d):
+    return _shortcuts(s, d, _attached(s, d))
+
+
+def overlay_edges(s, d):
+    edges = _attached(s, d)
+    return paths.overlay(edges, _shortcuts(s, d, edges))
+
+
+def snap_requests(s, d):
+    return routing.snapped(fx.requests(s, d), _nodes(s, d))
+
+
+def route_same_shard(s, d):
+    return routing.route_same_shard(snap_requests(s, d), _attached(s, d)).select("request_id", "start_id", "end_id", "total_weight")
+
+
+def _cross(s, d):
+    keep = keeper(s)
+    edges = keep(_attached(s, d).select("u", "v", "weight", "shard_u", "shard_v"), "edges")
+    overlay = keep(paths.overlay(edges, _shortcuts(s, d, edges)), "overlay")
+    return routing.route_cross_shard(keep(snap_requests(s, d), "requests"), edges, overlay, graph.boundary_in(edges), graph.boundary_out(edges))
+
+
+def route_cross_shard(s, d):
+    return _cross(s, d).select("request_id", "total_weight", F.size("waypoints").alias("waypoints"))
+
+
+def route_segments(s, d):
+    return routing.segments(_cross(s, d), _nodes(s, d))
+
+
+def expand_segments(s, d):
+    found = keeper(s)(route_segments(s, d).where("expandable and start_id <> end_id"), "segments")
+    at = _nodes(s, d).select(F.col("id").alias("start_id"), "shard_id")
+    return routing.expand(found.join(at, "start_id"), _attached(s, d)).groupBy("request_id").agg(F.count("*").alias("segments"), F.sum("total_weight").alias("total_weight"))
+
+
+def hrw_assign(s, d):
+    return routing.assign(_nodes(s, d).select(geo.unsigned(F.col("shard_id")).alias("key")).distinct(), fx.WORKERS)
+
+
+def latency_stats(s, d):
+    return stats.latency(fx.query_log(s, d))
+
+
+def load_summary(s, d):
+    return stats.load(fx.query_log(s, d))
+
+
+def load_timeline(s, d):
+    return fx.query_log(s, d).select("request_id", F.unix_micros("start_time").alias("start_us"), F.bround("latency_ms", 2).alias("latency_ms"), "success").orderBy("start_us", "request_id")
+
+
+def category_summary(s, d):
+    return fx.query_log(s, d).where("success").groupBy("category", "query_type").agg(F.count("*").alias("n"), F.bround(F.min("latency_ms"), 2).alias("low"), F.bround(F.max("latency_ms"), 2).alias("high"))
+
+
+def cache_speedup(s, d):
+    return stats.speedup(fx.query_log(s, d))
+
+
+NAMES = [
+    way_edges, order_way_edges, edge_speed, edge_weight_time, edge_weight_distance, node_shards, tile_bbox_decode, tile_core_owner, internal_edges,
+    bridge_edges, bridge_summary, boundary_in, boundary_out, boundary_locations, dangling_edges, dedup_nodes_join, shard_graph_stats, sssp_nation,
+    khop_dist, shortcuts, overlay_edges, snap_requests, route_same_shard, route_cross_shard, route_segments, expand_segments, hrw_assign,
+    latency_stats, load_summary, load_timeline, category_summary, cache_speedup,
+]
+
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
-    return {}
+    return {f.__name__: f for f in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Name -> DuckDB SQL."""
-    return {}
+    """Name -> DuckDB SQL; routes over all requests are tested against brute force instead."""
+    from .oracles import SQL
+
+    return SQL

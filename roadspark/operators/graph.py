@@ -108,4 +108,4 @@ def shard_graphs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"u": "v", "v": "u"})
+    return edges.select(*(F.col({"u": "v", "v": "u"}.get(c, c)).alias(c) for c in edges.columns))

@@ -82,7 +82,7 @@ SELECT source, node, dist FROM r""",
     "hrw_assign": f"{GRAPH}, k AS (SELECT DISTINCT shard_id::VARCHAR AS key FROM nodes) SELECT key, arg_max(node, substr(sha256(key || '-' || node), 1, 16)) AS node FROM k, (SELECT unnest({fx.WORKERS}) AS node) GROUP BY key",
     "latency_stats": f"""{LOG}, g AS (SELECT *, count(*) FILTER (success) OVER (PARTITION BY category, test_case, query_type) AS n_ok FROM log)
 SELECT category, test_case, query_type, count(*)::BIGINT AS run_count, n_ok::BIGINT AS success_count, {_round('avg(latency_ms) FILTER (success)', 'mean_ms')}, {_round('stddev_samp(latency_ms) FILTER (success)', 'std_ms')},
-  {_round('min(latency_ms) FILTER (success)', 'min_ms')}, {_round('max(latency_ms) FILTER (success)', 'max_ms')}, {_round(MIDDLE, 'median_ms')},
+  {_round('min(latency_ms) FILTER (success)', 'min_ms')}, {_round('max(latency_ms) FILTER (success)', 'max_ms')}, round_even(coalesce(round(({MIDDLE}) * 1000) / 10, 0)::DOUBLE, 0) / 100 AS median_ms,
   {_round(RANK.format(p=0.95), 'p95_ms')}, {_round('avg(distance_m) FILTER (success AND path_found)', 'avg_distance_m')} FROM g GROUP BY category, test_case, query_type, n_ok""",
     "load_summary": f"""{LOG}, g AS (SELECT *, count(*) FILTER (success) OVER () AS n_ok, greatest(date_diff('microsecond', min(start_time) OVER (), max(start_time) OVER ()) / 1000000.0::DOUBLE, 0) AS span FROM log)
 SELECT count(*)::BIGINT AS total, n_ok::BIGINT AS success_count, {_round('CASE WHEN span > 0 THEN span ELSE 1 END', 'duration_s')}, {_round('count(*) / CASE WHEN span > 0 THEN span ELSE 1 END', 'rps', 6)},

@@ -14,7 +14,7 @@ def nearest_rank(sorted_values: Column, n: Column, share: float) -> Column:
 def middle(sorted_values: Column, n: Column) -> Column:
     """The mean of the two middle values; null when empty."""
     a, b = (F.element_at(sorted_values, F.floor(k / 2).cast("int") + 1) for k in (n - 1, n))
-    return F.when(n > 0, (a + b) / 2)
+    return F.when(n > 0, F.round((a + b) / 2, 6))
 
 
 def latency(log: DataFrame) -> DataFrame:

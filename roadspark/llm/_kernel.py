@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one pass takes.
-LIMIT = 1 << 20
+LIMIT = 1 << 19
 U = np.uint64
 P = 0x9E3779B97F4A7C15
 PINV = pow(P, -1, 1 << 64)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernel as K
-from ._spark import table
+from ._spark import bounded_batches, table
 
 #: About so many labelled documents of each language train the model, and so many languages at most.
 SAMPLE, LANGUAGES = 2000, 64
@@ -88,6 +88,7 @@ class Model:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from labelled rows that are not held out: text and lang alone."""
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernel as K
-from ._spark import Scratch, table
+from ._spark import Scratch, bounded_batches, table
 
 #: About so many labelled documents train the classifier.
 SAMPLE = 20_000
@@ -99,6 +99,7 @@ class Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fits the classifier on about ``sample`` labelled documents, chosen by a hash of doc_id."""
+    bounded_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
     n = known.count()
     place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20))
@@ -115,12 +116,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     return Classifier(np.array(found["x"].tolist()).reshape(-1, N_FEATURES), (found["y"].to_numpy(float) > 0).astype(float))
 
 
-def evidence(docs: DataFrame, model: Classifier) -> DataFrame:
-    """docs with p."""
+def evidence(docs: DataFrame, model: Classifier, row: str | None = None) -> DataFrame:
+    """docs with p, from their text or that of the struct ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model(features(batch["text"])), pa.float64())], names=[*batch.schema.names, "p"])
+            text = batch[row].field("text") if row else batch["text"]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model(features(text)), pa.float64())], names=[*batch.schema.names, "p"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add("p", "double"))
 
@@ -180,5 +182,5 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     scored = evidence(docs.select(F.col("source").alias("host"), F.col("lang").alias("path"), "text"), model).drop("text")
     found = sites(scored, scratch)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("host"), F.col("lang").alias("path"), "text")
-    return combined(evidence(rows, model).drop("text"), found).where(F.col("quality") >= THRESHOLD).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("host"), F.col("lang").alias("path"))
+    return combined(evidence(rows, model, "row"), found).where(F.col("quality") >= THRESHOLD).select("row.*")

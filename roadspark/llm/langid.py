@@ -108,29 +108,53 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
-    """The best label of every word; rows bounds[k]:bounds[k+1] are one text. All texts advance together."""
-    sizes = np.diff(bounds)
-    by = np.argsort(-sizes, kind="stable")
-    first, sizes = bounds[:-1][by], sizes[by]
-    longest = int(sizes[0]) if len(sizes) else 0
-    active = np.searchsorted(-sizes, -np.arange(longest), "left")
-    stay, top = np.empty(scores.shape, bool), np.zeros(len(scores), np.int16)
-    best = np.zeros((len(sizes), scores.shape[1]))
-    for t in range(longest):
-        n = active[t]
-        at, now = first[:n] + t, best[:n]
+    """The best label of every word; rows bounds[k]:bounds[k+1] are one text.
+
+    A word whose first label leads by more than two penalties has it on every best path, for any other
+    label would cost more than switching there and back. These words cut texts into pieces that are
+    solved on their own, from the label before to the label after them; all pieces advance together.
+    """
+    n, m = scores.shape
+    out = scores.argmax(1).astype(np.int16)
+    if m < 2 or not n:
+        return out
+    two = np.partition(scores, m - 2, axis=1)
+    free = two[:, -1] - two[:, -2] <= 2 * penalty
+    first, last = np.zeros(n, bool), np.zeros(n, bool)
+    has = np.diff(bounds) > 0
+    first[bounds[:-1][has]], last[bounds[1:][has] - 1] = True, True
+    begin, end = free & first, free & last
+    begin[1:] |= free[1:] & ~free[:-1]
+    end[:-1] |= free[:-1] & ~free[1:]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    if not len(starts):
+        return out
+    by = np.argsort(starts - ends, kind="stable")
+    starts, ends = starts[by], ends[by]
+    sizes = ends - starts
+    active = np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+    stay, top = np.empty(scores.shape, bool), np.zeros(n, np.int16)
+    best, every = np.zeros((len(sizes), m)), np.arange(len(sizes))
+    after_label = every[~first[starts]]
+    best[after_label] = -penalty
+    best[after_label, out[starts[after_label] - 1]] = 0
+    for t in range(int(sizes[0])):
+        k = active[t]
+        at, now = starts[:k] + t, best[:k]
         lead = now.argmax(1)
-        limit = now[np.arange(n), lead] - penalty
-        kept = now >= limit[:, None]
-        stay[at], top[at] = kept, lead
-        best[:n] = np.where(kept, now, limit[:, None]) + scores[at]
-    out = np.zeros(len(scores), np.int16)
-    label = best.argmax(1)
-    for t in range(longest - 1, -1, -1):
-        n = active[t]
-        at = first[:n] + t
-        out[at] = label[:n]
-        label[:n] = np.where(stay[at, label[:n]], label[:n], top[at])
+        limit = (now[every[:k], lead] - penalty)[:, None]
+        stay[at], top[at] = now >= limit, lead
+        best[:k] = np.maximum(now, limit) + scores[at]
+    label = best.argmax(1).astype(np.int16)
+    to_label = every[~last[ends - 1]]
+    wanted = out[ends[to_label]]
+    stays = best[to_label, wanted] >= best[to_label, label[to_label]] - penalty
+    label[to_label] = np.where(stays, wanted, label[to_label])
+    for t in range(int(sizes[0]) - 1, -1, -1):
+        k = active[t]
+        at, now = starts[:k] + t, label[:k]
+        out[at] = now
+        label[:k] = np.where(stay[at, now], now, top[at])
     return out
 
 

@@ -1,5 +1,7 @@
 """Small cases: nulls, empty and repeated texts, empty tables, brute force."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -86,3 +88,14 @@ def test_language(docs, empty):
     model = langid.Model(["x", "y"], np.ones((2, langid.BUCKETS)), np.ones((2, langid.SCRIPTS)))
     assert langid.label(pa.array([None, "12 3", "abc"]), model)[0] == ["und", "und", "x"]
     assert langid.train(empty) is None
+
+
+def test_viterbi():
+    rng, penalty, bounds = np.random.default_rng(0), 4.0, [0, 3, 3, 7]
+    for _ in range(100):
+        scores = rng.normal(0, 8, (7, 3))
+        got = langid.viterbi(scores, np.array(bounds), penalty)
+        for a, b in zip(bounds, bounds[1:]):
+            def gain(path, a=a):
+                return sum(scores[a + i, x] for i, x in enumerate(path)) - penalty * sum(x != y for x, y in zip(path, path[1:]))
+            assert tuple(got[a:b]) == max(itertools.product(range(3), repeat=b - a), key=gain)

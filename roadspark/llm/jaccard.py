@@ -160,14 +160,26 @@ class Join:
         self.classes = self.scratch.keep(best.where("rep is not null").select(F.col("d1").alias("node"), "d2", "n", "rep", F.col("m.sig").alias("sig"), "copies"), "classes")
 
     def postings(self) -> DataFrame:
-        """The tokens of first-order prefixes that two classes or more share."""
+        """The tokens of first-order prefixes, once a class, where a class of the token's next smaller or larger size passes the length filter."""
         tokens, counts = self.often
         ranks = np.minimum(255, 1 + 16 * np.log2(np.maximum(1, counts / OFTEN))).astype(np.uint64)
         by = np.argsort(tokens)
         raw = self.docs.select("text").mapInArrow(_postings(tokens[by], ranks[by], self.width, self.percent), POSTING)
-        whole = Window.partitionBy("token")
-        marked = raw.select("*", F.min("node").over(whole).alias("low"), F.max("node").over(whole).alias("high"))
-        return self.scratch.keep(marked.where("low <> high").drop("low", "high"), "postings")
+        by_size = Window.partitionBy("token").orderBy("n", "node")
+        once = raw.withColumn("before", F.lag("node").over(by_size)).where("before is null or before <> node").drop("before")
+        beside = once.withColumn("below", F.lag("n").over(by_size)).withColumn("above", F.lead("n").over(by_size))
+        fits = (F.col("below") * 100 >= F.col("n") * self.percent) | (F.col("n") * 100 >= F.col("above") * self.percent)
+        return self.scratch.keep(beside.where(fits).drop("below", "above"), "postings")
+
+    def mixed(self, postings: DataFrame, comp: DataFrame, tag: int) -> DataFrame:
+        """The postings of tokens found in several components, with their component, copies and the token's largest component (main)."""
+        label = self.classes.join(comp.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").groupBy("node").agg(F.min(F.coalesce("comp", "rep")).alias("comp"), F.max("copies").alias("copies"))
+        lists = self.scratch.keep(postings.join(label, "node"), f"labelled-{tag}")
+        groups = lists.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("copies").alias("most"))
+        several = groups.groupBy("token").agg(F.max(F.struct("c", "most", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.comp").alias("main"))
+        found = self.scratch.keep(lists.join(several, "token"), f"lists-{tag}")
+        self.scratch.drop(f"labelled-{tag}")
+        return found
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """Distinct (x, y) nodes -> (ra, rb) representatives that pass the length filter and share both other prefixes."""
@@ -195,16 +207,11 @@ class Join:
         n = partitions(self.spark)
         return rows.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role").mapInArrow(_verify(self.width, self.percent), "a long, b long")
 
-    def across(self, postings: DataFrame, comp: DataFrame, hubs: int | None) -> DataFrame:
-        """Distinct pairs (x, y) of one list and two components, but for those within the list's largest component.
+    def across(self, lists: DataFrame, hubs: int | None) -> DataFrame:
+        """Distinct pairs (x, y) of one list of mixed() and two components, but for those within the list's largest component.
 
         With hubs, only pairs with so many members of the largest component, those with most copies first.
         """
-        label = self.classes.join(comp.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").groupBy("node").agg(F.min(F.coalesce("comp", "rep")).alias("comp"), F.max("copies").alias("copies"))
-        lists = postings.join(label, "node")
-        groups = lists.groupBy("token", "comp").agg(F.count("*").alias("c"), F.max("copies").alias("most"))
-        mixed = groups.groupBy("token").agg(F.max(F.struct("c", "most", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.comp").alias("main"))
-        lists = lists.join(mixed, "token")
         left = lists.where("comp <> main").select("token", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "pos", "comp")))
         right = lists
         if hubs:
@@ -230,7 +237,10 @@ class Join:
         links, tried = keep(ids, "links-0"), None
         for k, hubs in enumerate([*HUBS, None], 1):
             comp = keep(components(self.spark, links, self.scratch, f"cc-{k}"), f"comp-{k}")
-            pairs = self.candidates(self.across(postings, comp, hubs))
+            # components only merge, so a list within one component stays so
+            lists = self.mixed(postings, comp, k)
+            postings = lists.select("token", "node", "n", "pos")
+            pairs = self.candidates(self.across(lists, hubs))
             if tried is not None:
                 pairs = pairs.join(tried, ["ra", "rb"], "left_anti")
             pairs = keep(pairs, f"tried-{k}")

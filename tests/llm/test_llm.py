@@ -99,3 +99,23 @@ def test_viterbi():
             def gain(path, a=a):
                 return sum(scores[a + i, x] for i, x in enumerate(path)) - penalty * sum(x != y for x, y in zip(path, path[1:]))
             assert tuple(got[a:b]) == max(itertools.product(range(3), repeat=b - a), key=gain)
+
+
+def test_jaccard_brute_force(spark):
+    rng, texts = np.random.default_rng(3), []
+    for _ in range(8):
+        words = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(60, 200)))]
+        for edits in range(5):
+            texts.append(" ".join(words))
+            words[int(rng.integers(0, len(words)))] = f"e{edits}"
+    sets = []
+    for text in texts:
+        words = text.split()
+        sets.append({tuple(words[k : k + 5]) for k in range(len(words) - 4)})
+    comp = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((comp[a], comp[b]))
+            comp = [low if c == high else c for c in comp]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.Join(docs).members().collect()} == dict(enumerate(comp))

@@ -1,11 +1,14 @@
-"""License scan: an exact set-similarity join of license templates with the lines of every text.
+"""License scan: an exact set-similarity join of license templates with the lines of every text, and with
+runs of words that go on over line ends.
 
 A template is a set of words; a line holds it when it has at least THRESHOLD of them. Words are
 ordered by their frequency over the whole corpus (rarest first). Of a template's t words, at least
 need = ceil(THRESHOLD * t) must occur, so one of its t - need + 1 rarest does (prefix filter); a line
 of fewer than need distinct words is out (length filter); a first hit at place i leaves at most t - i
-words (positional filter). What is left is verified exactly. Base phrases are found as consecutive
-words of the whole text. DataFrame functions only; the templates are the only thing broadcast.
+words (positional filter). What is left is verified exactly. A notice that is wrapped over several lines is
+found in any SPAN * n words in a row, n the words of the template; this adds to the lines' hits, which
+are those of SQL. Base phrases are found as consecutive words of the whole text. DataFrame functions
+only; the templates are the only thing broadcast.
 
 Edge cases: null text is empty; texts without a hit have empty labels, null places and score 0; an
 empty table gives no rows; rows that repeat a doc_id are scanned row by row.
@@ -13,7 +16,9 @@ empty table gives no rows; rows that repeat a doc_id are scanned row by row.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 from ._spark import table
 
 THRESHOLD = 0.8
+#: A wrapped notice lies within so many times its template's words.
+SPAN = 2
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Well-known license notices and their labels.
@@ -74,6 +81,32 @@ def template_hits(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     return found.where(shared >= F.col("need")).select("doc_id", "text_key", "block", "label", (shared / F.size("words")).alias("containment"))
 
 
+def wrapped_hits(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_key, label, containment) of every text of several lines that holds a template within SPAN times its words."""
+    sets = [(label, sorted(set(text.split())), SPAN * len(text.split())) for label, text in templates]
+    notices = docs.sparkSession.createDataFrame([(label, words, math.ceil(threshold * len(words) - 1e-9), span) for label, words, span in sets], "label string, words array<string>, need int, span int")
+    vocabulary = sorted(set().union(*(words for _, words, _ in sets)))
+    placed = F.transform(word_list(F.col("t")), lambda w, i: F.struct(w.alias("w"), i.alias("at")))
+    marks = F.filter(placed, lambda x: x["w"].isin(vocabulary)).alias("marks")
+    # of any t - need + 1 words of a template one must occur: its longest are seldom found, and cheap to look for
+    rare = sorted({w for _, words, _ in sets for w in sorted(words, key=lambda w: (-len(w), w))[: len(words) - math.ceil(threshold * len(words) - 1e-9) + 1]})
+    could = F.exists(F.array(lowered("text")), lambda t: functools.reduce(operator.or_, [F.contains(t, F.lit(w)) for w in rare]))
+    text = docs.where(F.contains("text", F.lit("\n")) & could).select("doc_id", F.xxhash64("text").alias("text_key"), lowered("text").alias("t"))
+    maybe = text.select("doc_id", "text_key", marks).join(F.broadcast(notices), F.size(F.array_intersect("words", "marks.w")) >= F.col("need"))
+    own = F.filter("marks", lambda x: F.array_contains("words", x["w"]))
+
+    def most(marks: Column) -> Column:
+        def shared(x: Column, k: Column) -> Column:
+            near = F.filter(F.slice(marks, k + 1, F.col("span")), lambda y: y["at"] < x["at"] + F.col("span"))
+            return F.size(F.array_distinct(near["w"]))
+
+        return F.array_max(F.transform(marks, shared))
+
+    # as a lambda's argument, own is found once for a text and not once for each of its words
+    best = maybe.select("doc_id", "text_key", "label", "words", "need", F.transform(F.array(own), most)[0].alias("best"))
+    return best.where("best >= need").select("doc_id", "text_key", "label", (F.col("best") / F.size("words")).alias("containment"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: places of the base phrases, labels and score."""
     text = docs.select("doc_id", F.xxhash64("text").alias("text_key"), lowered("text").alias("t"))
@@ -93,7 +126,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     hits = F.when(maybe, F.filter(F.transform(near, hit), lambda x: x.isNotNull()))
     base = text.select("doc_id", "text_key", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), hits.alias("hits"))
-    more = template_hits(docs).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    found = template_hits(docs).drop("block").union(wrapped_hits(docs))
+    more = found.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     more = more.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "more", "containment")
     rows = base.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     n_base = F.coalesce(F.size("hits"), F.lit(0))

@@ -63,6 +63,19 @@ def test_licenses(docs, empty, spark):
     assert licenses.scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the Software)"
+    bsd = "Redistribution and use in source and binary forms, with or without\n  modification, are permitted provided that the following conditions\n  are met:"
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\r\n// License, v. 2.0. If a copy"
+    filler = "\n".join(["word " * 9] * 300)
+    far = "released\n" + filler + "\nunder\n" + filler + "\nthe\nMIT\n" + filler + "\nlicense"
+    texts = [mit, bsd, mpl, "x released under\n the MIT license", filler + mit + filler, far, "word " * 20_000 + "Released under the MIT License " + "word " * 20_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(rows).collect()}
+    assert [got[i][0] for i in range(7)] == ["mit", "bsd", "mpl", "mit", "mit", "", "mit"]
+    assert got[0][1] == got[1][1] == got[2][1] == got[3][1] == 1.0 and got[5][1] == 0.0
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([(1, 0, "a", "hi"), (1, 1, "b", None), (1, None, "system", "s"), (None, 0, None, "x")], "conv_id long, turn int, role string, text string")
     for r in chat.dialogues(turns).collect():

@@ -70,12 +70,12 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
-def chunks(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last + 1, bytes, offsets from 0) of runs of whole rows of about LIMIT bytes."""
+def chunks(column, limit: int = LIMIT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last + 1, bytes, offsets from 0) of runs of whole rows of about ``limit`` bytes."""
     offsets, data = buffers(column)
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + LIMIT, "right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 

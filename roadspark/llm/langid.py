@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _kernel as K
-from ._spark import bounded_batches, table
+from ._spark import bounded_batches, partitions, table
 
-#: About so many labelled documents of each language train the model, and so many languages at most.
-SAMPLE, LANGUAGES = 2000, 64
+#: About so many labelled documents of each language train the model; languages scored at a time.
+SAMPLE, AT_ONCE = 2000, 16
 BUCKETS, SWITCH, FOREIGN, SEEN = 1 << 15, 8.0, -50.0, 0.01
 #: Scripts by the lead byte of a UTF-8 letter.
 SCRIPT = np.full(256, -1, np.int8)
@@ -58,7 +58,14 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: dict[str, list[np.ndarray]] = {}
+    """One row for each language of rows sorted by lang; only one language's table is held."""
+    now, grams_seen, scripts_seen = None, np.zeros(BUCKETS, np.int64), np.zeros(SCRIPTS, np.int64)
+
+    def counted() -> pa.RecordBatch:
+        at = np.flatnonzero(grams_seen)
+        values = [at.tobytes(), grams_seen[at].tobytes(), scripts_seen.tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), *(pa.array([v], pa.binary()) for v in values)], names=["lang", "at", "grams", "scripts"])
+
     for batch in batches:
         for i, j, raw, at in K.chunks(batch["text"]):
             data, offsets = _spaced(raw, at)
@@ -67,12 +74,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             script = np.maximum.reduceat(SCRIPT[data], start) if len(start) else np.zeros(0, np.int8)
             for k in range(i, j):
                 lang = batch["lang"][k].as_py()
-                sums = found.setdefault(lang, [np.zeros(BUCKETS, np.int64), np.zeros(SCRIPTS, np.int64)])
+                if lang != now:
+                    if now is not None:
+                        yield counted()
+                    now = lang
+                    grams_seen[:], scripts_seen[:] = 0, 0
                 lo, hi = offsets[k - i], offsets[k - i + 1] - 2
-                sums[0] += np.bincount(grams[lo:hi], minlength=BUCKETS)
+                grams_seen += np.bincount(grams[lo:hi], minlength=BUCKETS)
                 own = script[bounds[k - i] : bounds[k - i + 1]]
-                sums[1] += np.bincount(own[own >= 0], minlength=SCRIPTS)
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([s[0].tobytes() for s in found.values()], pa.binary()), pa.array([s[1].tobytes() for s in found.values()], pa.binary())], names=["lang", "grams", "scripts"])
+                scripts_seen += np.bincount(own[own >= 0], minlength=SCRIPTS)
+    if now is not None:
+        yield counted()
 
 
 class Model:
@@ -80,8 +92,11 @@ class Model:
 
     def __init__(self, langs: list[str], grams: np.ndarray, scripts: np.ndarray) -> None:
         self.langs = langs
-        share = (grams + 0.1) / (grams + 0.1).sum(1, keepdims=True)
-        self.scores = np.ascontiguousarray(np.log(share).T - np.log(share).mean(0)[:, None])
+        scores = np.empty((len(langs), BUCKETS))
+        for k, row in enumerate(grams):
+            scores[k] = np.log((row + 0.1) / (row + 0.1).sum())
+        scores -= scores.mean(0)
+        self.scores = np.ascontiguousarray(scores.T)
         used = scripts >= SEEN * np.maximum(1, scripts.sum(1, keepdims=True))
         self.foreign = np.where(used.any(0)[:, None] & ~used.T, FOREIGN, 0.0)
 
@@ -90,21 +105,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from labelled rows that are not held out: text and lang alone."""
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not sizes:
-        return None
-    chance = F.lit(0.0)
-    for lang, n in sizes.items():
-        chance = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(chance)
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    # about sample * LANGUAGES rows at most, in four tasks: their counts come back as four dense tables a language
-    chosen = rows.where(place < chance).select("lang", "text").repartition(4)
-    sums: dict[str, list[np.ndarray]] = {}
-    for r in chosen.mapInArrow(_count, "lang string, grams binary, scripts binary").collect():
-        now = [np.frombuffer(r["grams"], np.int64), np.frombuffer(r["scripts"], np.int64)]
-        sums[r["lang"]] = [a + b for a, b in zip(sums[r["lang"]], now, strict=True)] if r["lang"] in sums else now
-    langs = sorted(sums)
-    return Model(langs, np.array([sums[x][0] for x in langs]), np.array([sums[x][1] for x in langs])) if langs else None
+    # one row for each language; a join, for thousands of them are too many for one expression
+    sizes = rows.groupBy(F.col("lang").alias("l")).agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("chance"))
+    chosen = rows.join(F.broadcast(sizes), F.col("lang") == F.col("l")).where(place < F.col("chance")).select("lang", "text")
+    # about sample rows a language; only the buckets that a language has come back
+    counts = chosen.repartition(partitions(docs.sparkSession), "lang").sortWithinPartitions("lang").mapInArrow(_count, "lang string, at binary, grams binary, scripts binary").collect()
+    if not counts:
+        return None
+    counts.sort(key=lambda r: r["lang"])
+
+    def tables() -> Iterator[np.ndarray]:
+        for r in counts:
+            out = np.zeros(BUCKETS, np.int64)
+            out[np.frombuffer(r["at"], np.int64)] = np.frombuffer(r["grams"], np.int64)
+            yield out
+
+    return Model([r["lang"] for r in counts], tables(), np.array([np.frombuffer(r["scripts"], np.int64) for r in counts]))
 
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -161,7 +178,9 @@ def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float = SWITCH) ->
 def label(column, model: Model | None) -> tuple[list[str], list[float], list[list[tuple[int, int, str]]]]:
     """(lang_pred, score, spans of words (first, last, lang)) of an Arrow string array."""
     preds, shares, spans = [], [], []
-    for i, j, raw, at in K.chunks(column):
+    # with many languages fewer bytes at a time, as a word has a score for each
+    limit = K.LIMIT * AT_ONCE // max(AT_ONCE, len(model.langs) if model else 0)
+    for i, j, raw, at in K.chunks(column, limit):
         data, offsets = _spaced(raw, at)
         start, end, bounds = K.words(data, offsets)
         if model is None or not len(start):
@@ -169,12 +188,15 @@ def label(column, model: Model | None) -> tuple[list[str], list[float], list[lis
             shares += [0.0] * (j - i)
             spans += [[] for _ in range(j - i)]
             continue
-        sums = np.zeros((len(data) - 1, len(model.langs)))
-        np.cumsum(model.scores[_grams(data)], axis=0, out=sums[1:])
         letters = np.add.reduceat(LETTER[data], start)
         script = np.maximum.reduceat(SCRIPT[data], start)
         # reduceat runs on to the next word's start; only the space between is added, which has neither
-        scores = sums[end - 1] - sums[start - 1]
+        grams, scores = _grams(data), np.empty((len(start), len(model.langs)))
+        for lo in range(0, len(model.langs), AT_ONCE):
+            part = model.scores[:, lo : lo + AT_ONCE]
+            sums = np.zeros((len(data) - 1, part.shape[1]))
+            np.cumsum(part[grams], axis=0, out=sums[1:])
+            scores[:, lo : lo + AT_ONCE] = sums[end - 1] - sums[start - 1]
         scores[script >= 0] += model.foreign[script[script >= 0]]
         scores[letters == 0] = 0
         path = viterbi(scores, bounds)

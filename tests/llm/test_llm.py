@@ -103,6 +103,15 @@ def test_language(docs, empty):
     assert langid.train(empty) is None
 
 
+def test_many_languages(spark):
+    rng = np.random.default_rng(5)
+    words = {f"l{i:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(8)] for i in range(100)}
+    rows = [(100 * k + i, " ".join(rng.choice(own, 30)), lang, "s", 0) for i, (lang, own) in enumerate(words.items()) for k in range(6 if i < 70 else 4)]
+    model = langid.train(spark.createDataFrame(rows, SCHEMA))
+    assert model.langs == sorted(words)
+    assert langid.label(pa.array([" ".join(own) for own in words.values()]), model)[0] == list(words)
+
+
 def test_viterbi():
     rng, penalty, bounds = np.random.default_rng(0), 4.0, [0, 3, 3, 7]
     for _ in range(100):

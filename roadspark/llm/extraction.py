@@ -6,7 +6,10 @@ aligned with each further page: tokens that match stay, tokens that only one sid
 groups, texts that differ become slots. Slots outside noise (menus, adverts, forms, ...) are summed by
 their container path; the deepest path that holds nearly all of that text in every sample page is
 where the host's articles are. A page is read through its host's wrapper: the blocks at that path, or
-all blocks outside noise when the page does not have it.
+all blocks outside noise when the page does not have it, without template text: blocks that all pages
+of the host have, or all of the page's kind (the container paths of its blocks), where these have more
+than two different contents. All pages count for that; tags and classes tell noise, and the path comes
+from the samples.
 
 Edge cases: null or empty html gives the empty text; a null url is the host ''; pages without markup
 are one block; unclosed tags end with their container; a host's first pages by hash are its samples,
@@ -21,6 +24,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -219,14 +224,24 @@ def infer(pages: list[str]) -> str | None:
     return max(every, key=lambda p: (p.count("/"), p), default=None)
 
 
-def main_text(page: str | None, path: str | None) -> str:
-    """The blocks of the page at the wrapper's path; article or main first where there is none."""
+def _key(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def kind(read: list[tuple[str, str]]) -> int:
+    """A page's kind, by the container paths of its blocks outside noise."""
+    return _key(*sorted({p for p, _ in read}))
+
+
+def main_text(page: str | None, path: str | None, template: dict[int | None, frozenset[int]] | None = None) -> str:
+    """The blocks of the page at the wrapper's path, article or main first where there is none, without the template text of its kind and host (None)."""
     read = [(p, t) for p, t, noise in blocks(page or "") if not noise]
-    for fits in (lambda p: path and (p == path or p.startswith(f"{path}/") or p.startswith(f"{path}.")), lambda p: re.search(r"/(?:article|main)(?:[./]|$)", p)):
-        chosen = [t for p, t in read if fits(p)]
+    fixed = (template.get(None, frozenset()) | template.get(kind(read), frozenset())) if template else frozenset()
+    for fits in (lambda p: path and (p == path or p.startswith(f"{path}/") or p.startswith(f"{path}.")), lambda p: re.search(r"/(?:article|main)(?:[./]|$)", p), lambda p: True):
+        chosen = [(p, t) for p, t in read if fits(p)]
         if chosen:
-            return "\n".join(chosen)
-    return "\n".join(t for _, t in read)
+            return "\n".join(t for p, t in chosen if not fixed or _key(p, t) not in fixed)
+    return ""
 
 
 def host(url: str) -> Column:
@@ -244,14 +259,55 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return sample.groupBy("host").applyInPandas(fit, "host string, wrapper string")
 
 
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each host and each of its kinds: the blocks that all pages have, and up to three of their contents."""
+    held: dict[tuple[str, int | None], list[set[int]]] = {}
+
+    def rows() -> pa.RecordBatch:
+        columns = zip(*((h, k, sorted(c), sorted(s)) for (h, k), (c, s) in held.items()), strict=True)
+        types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "kind", "common", "seen"])
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            read = [(p, t) for p, t, noise in blocks(batch["html"][k].as_py()) if not noise]
+            if not read:
+                continue
+            keys = {_key(p, t) for p, t in read}
+            content = _key(*(t for _, t in read))
+            for of in (None, kind(read)):
+                common, seen = held.setdefault((batch["host"][k].as_py(), of), [set(keys), set()])
+                common &= keys
+                if len(seen) < 3:
+                    seen.add(content)
+        if len(held) > 10_000:  # parts of a host are put together later
+            yield rows()
+            held.clear()
+    if held:
+        yield rows()
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, template): template text by kind, from all pages of a host."""
+    parts = pages.where("html is not null").select(host("url").alias("host"), "html").mapInArrow(_common, "host string, kind long, common array<long>, seen array<long>")
+    both = parts.groupBy("host", "kind").agg(F.collect_list("common").alias("c"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
+    found = both.where("size(seen) > 2").select("host", "kind", F.expr("aggregate(c, c[0], (x, y) -> array_intersect(x, y))").alias("common")).where("size(common) > 0")
+    return found.groupBy("host").agg(F.to_json(F.collect_list(F.struct("kind", "common"))).alias("template"))
+
+
+@lru_cache(maxsize=64)
+def _template(text: str | None) -> dict[int | None, frozenset[int]]:
+    return {r.get("kind"): frozenset(r["common"]) for r in json.loads(text or "[]")}
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages (page_id, url, html)."""
-    found = wrappers(pages).withColumnRenamed("host", "h")
-    rows = pages.select("page_id", "url", "html", host("url").alias("host")).join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper")
+    found = wrappers(pages).join(templates(pages), "host", "left").withColumnRenamed("host", "h")
+    rows = pages.select("page_id", "url", "html", host("url").alias("host")).join(found, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "wrapper", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(batch["html"][k].as_py(), json.loads(batch["wrapper"][k].as_py() or "null")) for k in range(batch.num_rows)]
+            texts = [main_text(batch["html"][k].as_py(), json.loads(batch["wrapper"][k].as_py() or "null"), _template(batch["template"][k].as_py())) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -4,7 +4,8 @@ A logistic classifier over counts of the whole text, trained on a bounded sample
 gives each document's probability p. Grouped sums of p give host and path rates; each is a posterior
 mean that shrinks its own sum toward the level above with a strength k, estimated from how much rates
 differ between groups (method of moments). A document's own p is left out of its site's sums. The
-result is logit(p) + logit(path rate) - logit(global rate).
+result is logit(p) + logit(path rate) - logit(global rate). documents has no URL, so its source stands
+for the host and its lang for the path.
 
 Edge cases: null or empty text has the features of no words; a null host or path is a group of its
 own; without labels of both kinds every p is the share of good labels (or 0.5); rows that repeat a

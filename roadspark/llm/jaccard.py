@@ -126,19 +126,25 @@ def _postings(tokens: np.ndarray, ranks: np.ndarray, width: int, percent: int):
 
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, against = None, np.zeros(0, np.uint64)
+        # the sets of all rows of the key's doc_id
+        key, against = None, []
         for batch in batches:
             a, b = [], []
             for i, _, data, offsets in K.chunks(batch["text"]):
                 for k, s in enumerate(K.shingle_sets(data, offsets, width), i):
-                    now, other = batch["key"][k].as_py(), batch["doc_id"][k].as_py()
+                    now, other = (batch["key"][k].as_py(), batch["salt"][k].as_py()), batch["doc_id"][k].as_py()
                     if not batch["role"][k].as_py():
-                        key, against = now, s
+                        if now != key:
+                            key, against = now, []
+                        if not any(np.array_equal(s, x) for x in against):
+                            against.append(s)
                     elif now == key:
-                        both = len(np.intersect1d(against, s, assume_unique=True))
-                        if 100 * both >= percent * (len(against) + len(s) - both):
-                            a.append(key)
-                            b.append(other)
+                        for x in against:
+                            both = len(np.intersect1d(x, s, assume_unique=True))
+                            if 100 * both >= percent * (len(x) + len(s) - both):
+                                a.append(key[0])
+                                b.append(other)
+                                break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run

@@ -132,6 +132,15 @@ def test_viterbi():
             assert tuple(got[a:b]) == max(itertools.product(range(3), repeat=b - a), key=gain)
 
 
+def test_jaccard_repeated_id():
+    def link(first, second):
+        texts = pa.RecordBatch.from_pydict({"key": [1, 1, 1], "salt": [0, 0, 0], "role": [0, 0, 1], "doc_id": [1, 1, 2], "text": [first, second, LONG + " tail"]})
+        return [b.to_pylist() for b in jaccard._verify(jaccard.WIDTH, jaccard.PERCENT)(iter([texts]))]
+
+    other = " ".join(f"v{i}" for i in range(60))
+    assert link(LONG, other) == link(other, LONG) == [[{"a": 1, "b": 2}]]
+
+
 def test_jaccard_brute_force(spark):
     rng, texts = np.random.default_rng(3), []
     for _ in range(8):

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from roadspark.llm import _kernel as K
-from roadspark.llm import chat, extraction, fingerprints, jaccard, langid, licenses, mixing, packing, topk
+from roadspark.llm import chat, fingerprints, jaccard, langid, licenses, mixing, packing, topk
 from roadspark.llm._spark import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -92,20 +92,6 @@ def test_topk(spark):
         assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
 
 
-def test_extraction():
-    page = '<html><body><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>T &amp; U</h1><p>a <b>b</b>\n c<p>d</article><footer>f</footer></body></html>'
-    assert extraction.main_text(page, extraction.infer([page])) == "T & U\na b c\nd" and extraction.main_text(None, None) == ""
-
-
-def test_template_text(spark):
-    page = "<html><body><div class='x'><p>Read our terms first</p><p>story {0} begins</p><p>and {0} ends</p></div></body></html>"
-    odd = "<html><body><article><p>other {0}</p></article></body></html>"
-    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(20)] + [(20 + i, f"http://h/o{i}", odd.format(i)) for i in range(2)] + [(30 + i, f"http://same/{i}", page.format(0)) for i in range(5)]
-    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[7] == "story 7 begins\nand 7 ends" and got[20] == "other 0" and len(got) == 27
-    assert got[31] == "Read our terms first\nstory 0 begins\nand 0 ends"
-
-
 def test_language(docs, empty):
     model = langid.Model(["x", "y"], np.ones((2, langid.BUCKETS)), np.ones((2, langid.SCRIPTS)))
     assert langid.label(pa.array([None, "12 3", "abc"]), model)[0] == ["und", "und", "x"]

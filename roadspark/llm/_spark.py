@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
@@ -28,31 +30,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs on this machine alone, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 class Scratch:
-    """Tables written to the shared folder; they cut lineage, and any executor can read them again."""
+    """Tables written to the shared folder; they cut lineage, and any executor can read them again.
+
+    A result may still read its operator's tables, so they stay until ``clear``, or ``released``.
+    """
+
+    opened: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         bounded_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        Scratch.opened.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
+        self._delete(f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def released() -> Iterator[None]:
+    """Deletes, at its end, the tables of all Scratch objects made within: for results that are written by then."""
+    before = len(Scratch.opened)
+    yield
+    for scratch in Scratch.opened[before:]:
+        scratch.clear()
+    del Scratch.opened[before:]
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,13 +2,16 @@
 
 Training counts byte trigrams (A-Z lowered, words between spaces) by language over a bounded sample of
 labelled documents. A word's score for a language is the sum of its trigrams' log probabilities; the
-scripts of its bytes leave only languages that were seen in that script. Viterbi with a switching
-penalty labels every word; lang_pred holds the most words with letters, and score is its share.
-
-Edge cases: null text, or text without a letter, is ``und`` with score 0, as is everything when there
-is nothing to learn from; words without letters take the language around them; rows that repeat a
-doc_id are labelled row by row; a null doc_id counts as the text '' for the held-out rule; an empty
-table gives no rows; long texts are labelled whole.
+script of its letters, by ranges of code points, leaves only languages that were seen in that script
+(all of them where none was). Viterbi with a switching penalty labels every word; lang_pred holds the
+most words with letters, and score is its share.
+
+Edge cases: null text, or text without a letter (no code point of a letter category: digits, marks and
+symbols of any script are none), is ``und`` with score 0, as is everything when there is nothing to
+learn from; words without letters take the language around them; ties fall to the smaller language;
+rows that repeat a doc_id are labelled row by row; a null doc_id counts as the text '' for the held-out
+rule; an empty table gives no rows; long texts are labelled whole. ``predict`` replaces columns named
+lang_pred, score or spans; ``accepted`` keeps all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,14 +29,43 @@ from ._spark import bounded_batches, partitions, table
 
 #: About so many labelled documents of each language train the model; languages scored at a time.
 SAMPLE, AT_ONCE = 2000, 16
-BUCKETS, SWITCH, FOREIGN, SEEN = 1 << 15, 8.0, -50.0, 0.01
-#: Scripts by the lead byte of a UTF-8 letter.
-SCRIPT = np.full(256, -1, np.int8)
-for _script, _bytes in enumerate([[*range(65, 91), *range(97, 123), *range(0xC3, 0xCB)], [0xCE, 0xCF], range(0xD0, 0xD4), [0xD6, 0xD7], range(0xD8, 0xDC), [0xE0], [0xE1], [0xE3], range(0xE4, 0xEA), range(0xEA, 0xEE)]):
-    SCRIPT[list(_bytes)] = _script
-SCRIPTS = int(SCRIPT.max()) + 1
-LETTER = np.zeros(256, bool)
-LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+BUCKETS, SWITCH, FOREIGN, SEEN = 1 << 15, 8.0, -1e9, 0.01
+#: Ranges of code points by script: Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic and Syriac, India's, Thai and Lao, Georgian, Hangul, kana, Han.
+RANGES = [
+    [(0x41, 0x24F), (0x1E00, 0x1EFF)], [(0x370, 0x3FF), (0x1F00, 0x1FFF)], [(0x400, 0x52F), (0x1C80, 0x1C8F)], [(0x530, 0x58F)], [(0x590, 0x5FF)],
+    [(0x600, 0x8FF)], [(0x900, 0xDFF)], [(0xE00, 0xEFF)], [(0x10A0, 0x10FF)], [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)], [(0x3040, 0x30FF)], [(0x3400, 0x9FFF), (0x20000, 0x323AF)],
+]
+#: The last script holds letters of none of the ranges.
+SCRIPTS = len(RANGES) + 1
+_script: list[np.ndarray] = []
+
+
+def script_table() -> np.ndarray:
+    """The script of every code point that is a letter, -1 of others."""
+    if not _script:
+        table = np.full(0x110000, SCRIPTS - 1, np.int8)
+        for k, ranges in enumerate(RANGES):
+            for a, b in ranges:
+                table[a : b + 1] = k
+        table[~np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)] = -1
+        _script.append(table)
+    return _script[0]
+
+
+def letters_of(data: np.ndarray) -> np.ndarray:
+    """The script of the letter that starts at each byte of UTF-8 text, -1 where none does."""
+    table = script_table()
+    out = np.full(len(data), -1, np.int8)
+    plain = data < 128
+    out[plain] = table[data[plain]]
+    lead = np.flatnonzero(data >= 0xC2)
+    if len(lead):
+        more = np.concatenate([data, np.zeros(3, np.uint8)])
+        b0, b1, b2, b3 = (more[lead + k].astype(np.int64) for k in range(4))
+        b1, b2, b3 = b1 & 63, b2 & 63, b3 & 63
+        code = np.where(b0 < 0xE0, (b0 & 31) << 6 | b1, np.where(b0 < 0xF0, (b0 & 15) << 12 | b1 << 6 | b2, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3))
+        out[lead] = table[np.minimum(code, 0x10FFFF)]
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,7 +103,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offsets = _spaced(raw, at)
             grams = _grams(data)
             start, end, bounds = K.words(data, offsets)
-            script = np.maximum.reduceat(SCRIPT[data], start) if len(start) else np.zeros(0, np.int8)
+            script = np.maximum.reduceat(letters_of(data), start) if len(start) else np.zeros(0, np.int8)
             for k in range(i, j):
                 lang = batch["lang"][k].as_py()
                 if lang != now:
@@ -105,7 +137,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learns from labelled rows that are not held out: text and lang alone."""
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 60)) / float(1 << 60)
     # one row for each language; a join, for thousands of them are too many for one expression
     sizes = rows.groupBy(F.col("lang").alias("l")).agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("chance"))
     chosen = rows.join(F.broadcast(sizes), F.col("lang") == F.col("l")).where(place < F.col("chance")).select("lang", "text")
@@ -188,8 +220,7 @@ def label(column, model: Model | None) -> tuple[list[str], list[float], list[lis
             shares += [0.0] * (j - i)
             spans += [[] for _ in range(j - i)]
             continue
-        letters = np.add.reduceat(LETTER[data], start)
-        script = np.maximum.reduceat(SCRIPT[data], start)
+        script = np.maximum.reduceat(letters_of(data), start)
         # reduceat runs on to the next word's start; only the space between is added, which has neither
         grams, scores = _grams(data), np.empty((len(start), len(model.langs)))
         for lo in range(0, len(model.langs), AT_ONCE):
@@ -198,14 +229,11 @@ def label(column, model: Model | None) -> tuple[list[str], list[float], list[lis
             np.cumsum(part[grams], axis=0, out=sums[1:])
             scores[:, lo : lo + AT_ONCE] = sums[end - 1] - sums[start - 1]
         scores[script >= 0] += model.foreign[script[script >= 0]]
-        scores[letters == 0] = 0
+        scores[script < 0] = 0
         path = viterbi(scores, bounds)
         for k in range(j - i):
-            own, real = path[bounds[k] : bounds[k + 1]], letters[bounds[k] : bounds[k + 1]] > 0
-            has = real.any()
-            if has and not (raw[at[k] : at[k + 1]] < 128).all() and script[bounds[k] : bounds[k + 1]].max() < 0:
-                has = any(c.isalpha() for c in raw[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace"))
-            if not has:
+            own, real = path[bounds[k] : bounds[k + 1]], script[bounds[k] : bounds[k + 1]] >= 0
+            if not real.any():
                 preds.append("und")
                 shares.append(0.0)
                 spans.append([])
@@ -221,12 +249,12 @@ def label(column, model: Model | None) -> tuple[list[str], list[float], list[lis
 SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, score and spans; only their text is looked at."""
+def predict(docs: DataFrame, model: Model | None, row: str | None = None) -> DataFrame:
+    """docs with lang_pred, score and spans; only their text, or that of the struct ``row``, is looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            preds, shares, spans = label(batch["text"], model)
+            preds, shares, spans = label(batch[row].field("text") if row else batch["text"], model)
             spans = pa.array([[{"first": a, "last": b, "lang": x} for a, b, x in s] for s in spans], SPAN)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(shares, pa.float64()), spans], names=[*batch.schema.names, "lang_pred", "score", "spans"])
 
@@ -246,4 +274,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents with a language that holds at least that share of their words."""
     model = train(docs.select("doc_id", "text", "lang"))
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    rows = predict(docs.select(F.struct(*docs.columns).alias("row")), model, "row")
+    return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

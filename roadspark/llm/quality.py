@@ -9,8 +9,9 @@ for the host and its lang for the path.
 
 Edge cases: null or empty text has the features of no words; a null host or path is a group of its
 own; without labels of both kinds every p is the share of good labels (or 0.5); rows that repeat a
-doc_id are scored row by row (a repeated label counts once, the smallest); an empty table gives no
-rows.
+doc_id are scored row by row (a repeated label counts once, the smallest); rows with equal text and
+site tie; long texts are read whole, in bounded passes; an empty table gives no rows. ``accepted`` keeps
+all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ class Classifier:
     def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
         self.rate = float(y.mean()) if len(y) else 0.5
         self.center = self.scale = self.weights = None
-        if not 0 < self.rate < 1:
+        if not len(y) or not 0 < self.rate < 1:
             return
         self.center, self.scale = x.mean(0), x.std(0) + 1e-9
         z = self._design(x)
@@ -103,9 +104,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     bounded_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
     n = known.count()
-    place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 60))
     # about ``sample`` rows, so the join broadcasts them and no text is shuffled
-    known = known.where(place < int(min(1.0, sample / max(1, n)) * (1 << 20)))
+    known = known.where(place < int(min(1.0, sample / max(1, n)) * (1 << 60)))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
 
 def evidence(docs: DataFrame, model: Classifier, row: str | None = None) -> DataFrame:
-    """docs with p, from their text or that of the struct ``row``."""
+    """docs with p (replacing a column of that name), from their text or that of the struct ``row``."""
+    docs = docs.drop("p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,8 +168,6 @@ def combined(scored: DataFrame, found: tuple[DataFrame, float, float, float]) ->
     return rows.withColumn("quality", 1 / (1 + F.exp(-odds))).drop("_h", "_p", "path_sum", "path_n", "host_sum", "host_n")
 
 
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: doc_id, p, host_rate, path_rate, quality and keep of all documents."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "quality")

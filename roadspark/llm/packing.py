@@ -7,12 +7,14 @@ curve; every SIZE tokens begin a new sequence, so only the last sequence is padd
 row for each range, give every range its place on the line, so no task sees more than its range.
 
 Edge cases: null or empty text is the end token alone; rows that repeat a doc_id are packed one after
-the other; null doc_id is packed like any other; a long document spans several sequences; an empty
-table gives no rows.
+the other; null doc_id is packed like any other; equal keys are ordered by doc_id and ids; a long
+document spans several sequences; columns other than doc_id and text are left out, so their names can't
+clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -41,21 +43,34 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def id_type(tokenizer: Tokenizer) -> type:
+    """The smallest type that holds all ids."""
+    return np.uint16 if max(tokenizer.get_vocab().values(), default=END) < 1 << 16 else np.uint32
+
+
 class Words:
     """Tokenises text word by word, with caches.
 
     This vocabulary drops white space, and neither its normaliser nor its pre-tokeniser joins text
     across it, so a text's ids are those of its words, one after the other. A word of letters below
     U+0250 is split as the vocabulary's own pattern does and each part goes to its model; any other
-    word goes to the tokenizer as it is.
+    word goes to the tokenizer as it is. A vocabulary with other steps is given whole texts.
     """
 
     #: Fixed value: the pattern by which this vocabulary splits text.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Its normaliser and pre-tokenizer.
+    STEPS = [
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    ]
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.type = id_type(self.tokenizer)
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_word = [steps["normalizer"], steps["pre_tokenizer"]] == self.STEPS and all(t["content"].startswith("<|") for t in steps["added_tokens"])
         # bytes as the byte-level characters of the vocabulary: printable ones stand for themselves
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = iter(range(256, 512))
@@ -67,7 +82,7 @@ class Words:
         found = self.parts.get(text)
         if found is None:
             shown = text if text.isascii() and text.isalpha() else "".join(self.chars[b] for b in text.encode())
-            found = np.array([t.id for t in self.model.tokenize(shown)], np.uint16).tobytes()
+            found = np.array([t.id for t in self.model.tokenize(shown)], self.type).tobytes()
             if len(self.parts) >= CACHE:
                 self.parts.clear()
             self.parts[text] = found
@@ -76,12 +91,15 @@ class Words:
     def word(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
         if "<|" in text or (not text.isascii() and max(text) >= "ɐ"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
         text = unicodedata.normalize("NFC", text).lower()
         return b"".join(self.part(p) for p in self.SPLIT.findall(text))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids with the end token, offsets) of the rows of a chunk."""
+        if not self.by_word:
+            found = [[*self.tokenizer.encode(data[a:b].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, END] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return np.array([i for ids in found for i in ids], self.type), np.cumsum([0, *map(len, found)])
         start, end, bounds = K.words(data, offsets)
         n = len(offsets) - 1
         hashes = K.span_hashes(data, start, end)
@@ -95,12 +113,12 @@ class Words:
                     self.words.clear()
                 self.words[h] = found
             pieces.append(found)
-        sizes = np.array([len(p) // 2 for p in pieces], np.int64)
-        pool, at = np.frombuffer(b"".join(pieces), np.uint16), np.cumsum(sizes) - sizes
+        sizes = np.array([len(p) // np.dtype(self.type).itemsize for p in pieces], np.int64)
+        pool, at = np.frombuffer(b"".join(pieces), self.type), np.cumsum(sizes) - sizes
         counts = sizes[inverse]
         total = np.concatenate([[0], np.cumsum(counts)])
         ends = total[bounds] + np.arange(n + 1)
-        out = np.full(int(ends[-1]), END, np.uint16)
+        out = np.full(int(ends[-1]), END, self.type)
         spread = np.repeat(at[inverse] - total[:-1], counts) + np.arange(total[-1])
         place = np.arange(total[-1]) + np.repeat(np.arange(n), np.diff(total[bounds]))
         out[place] = pool[spread]
@@ -164,7 +182,7 @@ def _tokenise(path: str):
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _cut(size: int):
+def _cut(size: int, held: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, place = None, 0
         for batch in batches:
@@ -173,7 +191,7 @@ def _cut(size: int):
                 pid, doc = batch["pid"][k].as_py(), batch["doc_id"][k].as_py()
                 if pid != here:
                     here, place = pid, batch["base"][k].as_py()
-                ids = np.frombuffer(batch["ids"][k].as_py(), np.uint16).astype("<u4")
+                ids = np.frombuffer(batch["ids"][k].as_py(), held).astype("<u4")
                 done = 0
                 while done < len(ids):
                     take = min(len(ids) - done, size - place % size)
@@ -189,7 +207,8 @@ def _cut(size: int):
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """The pieces of all documents (doc_id, text) in sequences of that many tokens."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "packing")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(path or vocabulary_path()), "doc_id long, key long, doc_tokens long, ids binary")
+    path = path or vocabulary_path()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(path), "doc_id long, key long, doc_tokens long, ids binary")
     spread = F.shiftleft("key", 63 - AXES * BITS - 1) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << (62 - AXES * BITS)))
     rows = scratch.keep(rows.withColumn("order", spread), "tokens")
     n = partitions(spark)
@@ -199,7 +218,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
     # one row for each range
     base = sums.select(F.col("pid").alias("p"), (F.sum("n").over(Window.orderBy("pid")) - F.col("n")).alias("base"))
     dealt = rows.withColumn("pid", pid).join(F.broadcast(base), F.col("pid") == F.col("p")).select("pid", "base", "order", "doc_id", "ids")
-    return dealt.repartitionByRange(n, "pid").sortWithinPartitions("pid", "order", "doc_id", "ids").mapInArrow(_cut(size), PIECES)
+    return dealt.repartitionByRange(n, "pid").sortWithinPartitions("pid", "order", "doc_id", "ids").mapInArrow(_cut(size, id_type(Tokenizer.from_file(path))), PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ source's documents gives the fractional repetition: documents before the remaini
 once more, the one on the border with the words that are left.
 
 Edge cases: null text has size 0; null sources are one source, ordered last; sources without words
-have target 0; rows that repeat a doc_id are rows of their own; an empty table gives no rows.
+have target 0; rows that repeat a doc_id are rows of their own (in ``copies``, rows with equal doc_id,
+source and text are repeated alike); ties in the seeded order fall by doc_id, size and text; long texts
+are counted whole; an empty table gives no rows. ``copies`` keeps all columns as they are, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -78,11 +81,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def copies(docs: DataFrame, scratch: Scratch, seed: int = SEED) -> DataFrame:
     """The mixed documents: every row as often as the mix repeats it, in whole repetitions (a fractional one counts from half of it)."""
-    taken = mix(docs, scratch, seed)
+    taken = mix(docs.select("doc_id", "source", "text"), scratch, seed)
     half = (F.col("taken") - F.col("whole") * F.col("size")) * 2 >= F.col("size")
-    times = taken.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), (F.col("whole") + (half & (F.col("size") > 0)).cast("int")).cast("int").alias("_n")).groupBy("_id", "_key").agg(F.max("_n").alias("_n"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
-    return joined.where("_n > 0").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    n = (F.col("whole") + (half & (F.col("size") > 0)).cast("int")).cast("int")
+    times = taken.select("doc_id", "source", "text_key", n.alias("n")).groupBy("doc_id", "source", "text_key").agg(F.max("n").alias("n")).where("n > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (F.xxhash64("row.text") == F.col("text_key"))
+    return rows.join(times, same).select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy")).select("row.*")
 
 
 SQL = rf"""

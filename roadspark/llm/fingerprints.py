@@ -4,21 +4,23 @@ Leaves are pieces: runs of words that end at a word whose hash is divisible by P
 paragraph, so an edit moves no piece but its own. Paragraphs are lines; sections are runs of lines
 that end at a line whose digest is divisible by SECTION. The fingerprint writes the tree as text:
 
-    root|section:paragraph,paragraph;section:paragraph...
+    root|section:paragraph.pieces,paragraph.pieces;section:paragraph.pieces...
 
-root and section are SHA-256 digests (32 and 8 hex digits) of the level below, a paragraph is the
-concatenation of its pieces' 32-bit digests. Equal roots mean equal texts; ``differing`` walks down
+root, section and paragraph are SHA-256 digests (128 bits, as hex) of the level below, a paragraph's of
+its bytes, and pieces are 32-bit digests in a row. Equal roots mean equal texts; ``differing`` walks down
 only the branches that differ. The likeness of two fingerprints is the Dice coefficient of their
 pieces.
 
 Edge cases: null text is empty; two empty texts are alike (1.0); null doc_id comes first; rows that
 repeat a doc_id are ordered by text and follow each other; a single row is its own next document; an
-empty table gives no rows; long texts are hashed whole, in bounded passes.
+empty table gives no rows; long texts are hashed whole, in bounded passes; columns other than doc_id and text
+are left out, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,18 +61,43 @@ def likeness(one: str, other: str) -> float:
 
 def parsed(fingerprint: str) -> Print:
     root, _, rest = fingerprint.partition("|")
-    leaves = "".join(p for s in rest.split(";") for p in s.partition(":")[2].split(","))
+    leaves = "".join(p.partition(".")[2] for s in rest.split(";") for p in s.partition(":")[2].split(","))
     return Print(fingerprint, root, np.frombuffer(bytes.fromhex(leaves), ">u4"))
 
 
 def differing(one: str, other: str) -> list[tuple[int, int]]:
-    """(section, paragraph) places of one's paragraphs that other does not have; equal branches are not entered."""
+    """(section, paragraph) places of one's paragraphs that the other lacks, by digests; equal branches are not entered.
+
+    Paragraphs that only moved, and what only the other has, are shown by the first place where the two
+    part, so unequal roots always give a place.
+    """
     a, b = (x.partition("|") for x in (one, other))
     if a[0] == b[0]:
         return []
-    theirs = {s.partition(":")[0]: s.partition(":")[2] for s in b[2].split(";")}
-    known = {p for s in theirs.values() for p in s.split(",")}
-    return [(i, j) for i, s in enumerate(a[2].split(";")) if s.partition(":")[0] not in theirs for j, p in enumerate(s.partition(":")[2].split(",")) if p not in known]
+    mine, theirs = ([s.partition(":") for s in x[2].split(";")] for x in (a, b))
+    i, last = 0, 0
+    while i < min(len(mine), len(theirs)) and mine[i][0] == theirs[i][0]:
+        i += 1
+    while last < min(len(mine), len(theirs)) - i and mine[-1 - last][0] == theirs[-1 - last][0]:
+        last += 1
+    rest = Counter(p.partition(".")[0] for _, _, s in theirs[i : len(theirs) - last] for p in s.split(","))
+    out = []
+    for at, (_, _, inside) in enumerate(mine[i : len(mine) - last], i):
+        for j, p in enumerate(inside.split(",")):
+            digest = p.partition(".")[0]
+            if rest[digest]:
+                rest[digest] -= 1
+            else:
+                out.append((at, j))
+    if out:
+        return out
+    if i == len(mine):
+        return [(i - 1, len(mine[-1][2].split(",")))]
+    ours, others = mine[i][2].split(","), theirs[i][2].split(",") if i < len(theirs) else []
+    j = 0
+    while j < min(len(ours), len(others)) and ours[j] == others[j]:
+        j += 1
+    return [(i, j)]
 
 
 def fingerprints(texts: list[str]) -> list[Print]:
@@ -101,18 +128,18 @@ def fingerprints(texts: list[str]) -> list[Print]:
         for i, p in enumerate(paragraphs):
             own = hashlib.sha256(p).digest()
             section.update(own)
-            inside.append(digits[8 * cut[i] : 8 * cut[i + 1]])
+            inside.append(f"{own[:16].hex()}.{digits[8 * cut[i] : 8 * cut[i + 1]]}")
             if own[0] % SECTION == 0 or i + 1 == len(paragraphs):
                 sums.append(section.digest())
-                sections.append(f"{section.hexdigest()[:8]}:{','.join(inside)}")
+                sections.append(f"{section.hexdigest()[:32]}:{','.join(inside)}")
                 section, inside = hashlib.sha256(), []
         root = hashlib.sha256(b"".join(sums)).hexdigest()[:32]
         out.append(Print(f"{root}|{';'.join(sections)}", root, digests[first[k] : first[k + 1]]))
     return out
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_section int, edit_paragraph int, edited_paragraphs int"
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("edit_section", pa.int32()), ("edit_paragraph", pa.int32()), ("edited_paragraphs", pa.int32())])
 
 
 def _rows(held: list[tuple]) -> pa.RecordBatch:
@@ -125,6 +152,7 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
         need = len(texts[k]) // 4
         edited.append(texts[k][: len(texts[k]) - need] + texts[k + 1][:need])
     after = fingerprints(edited)
+    places = [differing(e.text, prints[k].text) for k, e in zip(takes, after, strict=True)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([held[k][2] for k in takes], pa.int64()), pa.array([len(texts[k]) for k in takes], pa.int64()),
@@ -132,6 +160,7 @@ def _rows(held: list[tuple]) -> pa.RecordBatch:
             pa.array([prints[k].text for k in takes], pa.string()), pa.array([e.text for e in after], pa.string()),
             pa.array([alike(prints[k], e) for k, e in zip(takes, after, strict=True)], pa.float64()),
             pa.array([alike(prints[k], prints[k + 1]) for k in takes], pa.float64()),
+            pa.array([p[0][0] if p else None for p in places], pa.int32()), pa.array([p[0][1] if p else None for p in places], pa.int32()), pa.array([len(p) for p in places], pa.int32()),
         ],
         schema=ARROW,
     )

@@ -19,7 +19,9 @@ components is lost. The result does not depend on which tokens count as frequent
 
 Edge cases: null or wordless text has the empty set, size 0, and its own component; fewer than five
 words make one shingle; rows that repeat a doc_id count as one document with the links of all its
-rows; a null doc_id links like any text and reports its component; an empty table gives no rows.
+rows; rows without doc_id link like any text (equal ones count as one document), and report the
+smallest doc_id of their component, null where there is none; columns other than doc_id and text are
+left out, so their names can't clash; long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ GROUP = 64
 #: Members of a list's largest component that the others are held against, by round, before all pairs that are left.
 HUBS = (1, 8)
 
-PASS1 = "kind int, doc_id long, n long, d1 long, d2 long, sig array<long>"
+PASS1 = "kind int, doc_id long, n long, d1 long, d2 long, sig array<long>, unnamed boolean"
 POSTING = "token long, node long, n int, pos int"
 
 
@@ -64,15 +66,15 @@ def _bitmap(tokens: np.ndarray, order: int, percent: int) -> list[int]:
 
 def _digests(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        names = ["kind", "doc_id", "n", "d1", "d2", "sig"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
+        names = ["kind", "doc_id", "n", "d1", "d2", "sig", "unnamed"]
         window, held, seen = [], 0, set()
 
         def frequent() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(window), return_counts=True)
             tokens, counts = K.signed(tokens[counts >= OFTEN]), counts[counts >= OFTEN]
             none = [None] * len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([1] * len(tokens), none, counts, tokens, none, none), types, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([1] * len(tokens), none, counts, tokens, none, none, none), types, strict=True)], names=names)
 
         for batch in batches:
             for i, j, data, offsets in K.chunks(batch["text"]):
@@ -80,7 +82,7 @@ def _digests(width: int, percent: int):
                 d1 = [int(K.mix(s, 11).sum(dtype=np.uint64)) - (1 << 63) for s in sets]
                 d2 = [int(K.mix(s, 12).sum(dtype=np.uint64)) - (1 << 63) for s in sets]
                 sigs = [_bitmap(s, 2, percent) + _bitmap(s, 3, percent) if len(s) else None for s in sets]
-                columns = ([0] * len(sets), batch["doc_id"].slice(i, j - i), [len(s) for s in sets], d1, d2, sigs)
+                columns = ([0] * len(sets), batch["doc_id"].slice(i, j - i), [len(s) for s in sets], d1, d2, sigs, batch["unnamed"].slice(i, j - i))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
                 for s, d in zip(sets, d1, strict=True):
                     if len(s) and d not in seen:
@@ -155,15 +157,33 @@ class Join:
 
     def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> None:
         self.spark, self.width, self.percent = docs.sparkSession, width, percent
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        # rows without doc_id go by a hash of their text
+        self.docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("doc_id"), "text", F.col("doc_id").isNull().alias("unnamed"))
         self.scratch = Scratch(self.spark, "jaccard")
         found = self.scratch.keep(self.docs.mapInArrow(_digests(width, percent), PASS1), "digests")
         self.sets = found.where("kind = 0").drop("kind")
-        often = found.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(MOST)
-        often = often.toPandas()  # at most MOST rows; any choice of them gives the same links
-        self.often = often["d1"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.float64)
+        self.often = self._frequent(found.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")))
         best = self.sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("m"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-        self.classes = self.scratch.keep(best.where("rep is not null").select(F.col("d1").alias("node"), "d2", "n", "rep", F.col("m.sig").alias("sig"), "copies"), "classes")
+        self.classes = self.scratch.keep(best.select(F.col("d1").alias("node"), "d2", "n", "rep", F.col("m.sig").alias("sig"), "copies"), "classes")
+
+    def _frequent(self, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, counts) of the most frequent tokens: all from the smallest count that at most MOST tokens reach.
+
+        That count comes from a histogram of at most 1,024 rows, so no more than MOST rows reach the
+        driver; any choice of tokens gives the same links.
+        """
+        counts = self.scratch.keep(counts, "counts")
+        step = F.floor(F.log2("n") * 16).cast("int")
+        held, least = 0, None
+        for k, n in sorted(counts.groupBy(step.alias("k")).count().collect(), reverse=True):
+            held += n
+            if held > MOST:
+                break
+            least = k
+        rows = counts.where(step >= least).toPandas() if least is not None else None
+        if rows is None:
+            return np.zeros(0, np.uint64), np.zeros(0)
+        return rows["d1"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.float64)
 
     def postings(self) -> DataFrame:
         """The tokens of first-order prefixes, once a class, where a class of the token's next smaller or larger size passes the length filter."""
@@ -254,12 +274,21 @@ class Join:
             links = links.union(keep(self.verified(pairs), f"links-{k}"))
         return links
 
+    def documents(self) -> DataFrame:
+        """(doc_id, unnamed, n, component) of every row; component is the id that stands for it, one with a name where there is one."""
+        comp = components(self.spark, self.links(), self.scratch, "cc")
+        label = self.classes.join(comp.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select(F.col("node").alias("d1"), "d2", "n", F.coalesce("comp", "rep").alias("c"))
+        rows = self.sets.select("doc_id", "unnamed", "d1", "d2", "n").join(label, ["d1", "d2", "n"], "left").select("doc_id", "unnamed", "n", F.coalesce("c", "doc_id").alias("component"))
+        if self.sets.where("unnamed").isEmpty():
+            return rows
+        named = rows.where("not unnamed").groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("named"))
+        return rows.join(named, F.col("component") == F.col("c"), "left").select("doc_id", "unnamed", "n", F.coalesce("named", "component").alias("component"), F.col("named").isNull().alias("nameless"))
+
     def members(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
-        comp = components(self.spark, self.links(), self.scratch, "cc")
-        label = self.classes.join(comp.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select(F.col("node").alias("d1"), "d2", "n", F.coalesce("comp", "rep").alias("component_id"))
-        rows = self.sets.select("doc_id", "d1", "d2", "n").join(label, ["d1", "d2", "n"], "left")
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        rows = self.documents()
+        nameless = F.col("nameless") if "nameless" in rows.columns else F.lit(False)
+        return rows.select(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~nameless, F.col("component")).alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +297,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest doc_id of their component (all rows without words or doc_id stay)."""
-    found = Join(docs).members().groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return docs.join(found.where("component_id <> doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component: that of its smallest doc_id, or, where its rows have none, any of them.
+
+    Rows without words all stay. Rows that repeat a doc_id come down to one, with the smallest hash of
+    text; ties between equal texts fall to the smallest columns, shown as JSON. All columns are kept,
+    whatever their names.
+    """
+    join = Join(docs)
+    rows = join.documents().where("n > 0")
+    found = join.scratch.keep(rows.groupBy("doc_id").agg(F.min("component").alias("component"), F.count("*").alias("rows")), "found")
+    key = F.coalesce(F.col("row.doc_id").cast("long"), F.xxhash64("row.text"))
+    named = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", key)
+    wordy = F.coalesce(F.rlike(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    gone = found.where("component <> doc_id or rows > 1").select(F.col("doc_id").alias("key"))
+    one = named.join(gone, "key", "left_anti").select("row")
+    # few: the first rows of repeated ids, and rows without words that share an id with rows that have some
+    again = named.join(found.where("component = doc_id and rows > 1").select(F.col("doc_id").alias("key")), "key", "left_semi")
+    first = again.where(wordy).groupBy("key").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.to_json("row"))).alias("row")).select("row")
+    wordless = named.where(~wordy).join(gone, "key", "left_semi").select("row")
+    return one.union(first).union(wordless).select("row.*")

@@ -1,17 +1,24 @@
 """Exact top-k search by inner product, block at a time.
 
-Vectors are cut by ranges of vec_id into blocks of BLOCK rows. A block's forward index is its integer
-matrix; its summary holds every term's maximum and minimum. For a query, a block's bound is the sum of
-its terms' best products. Groups of blocks meet all queries, in batches: a query's blocks are taken by
-descending bound and scored until the bound falls below its k-th best score so far. The k-th best
-score over the first group starts every search. Ties fall to the smaller vec_id, so a block whose
-bound equals the k-th score is still scored.
+Vectors are cut by ranges of vec_id into blocks, and runs of blocks into groups. A block's forward index
+is its integer matrix; summaries hold every term's maximum and minimum, of blocks and of groups. The
+bound of a query over a block or group is the sum of its terms' best products. The search has three
+steps, and no vector is shuffled to a group that its bounds rule out:
+
+1. queries meet the groups' summaries (cells of SUMMARIES groups and QUERIES queries), which gives every
+   query the group with the highest bound; scoring that group gives its first k-th best score;
+2. queries meet the summaries again: groups whose bound falls below that score are dropped;
+3. the pairs that are left meet the groups' blocks: a query's blocks are taken by descending bound and
+   scored until the bound falls below its k-th best score so far.
+
+Ties fall to the smaller vec_id, so a block or group whose bound equals the k-th score is still scored.
 
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part; nor do null
 vec_ids; vectors of other lengths than the query's are no candidates of it; rows that repeat a vec_id
 are rows of their own, and none of them is a candidate of a query with that id; fewer than k
-candidates give fewer rows; an empty table gives no rows. Sums that could pass 2**53 are taken in
-exact integers.
+candidates give fewer rows; an empty table gives no rows; columns other than vec_id and embedding only
+serve to choose queries. Sums that could pass 2**53 are taken in exact integers; scores beyond the range
+of LONG are cut to it, and tie there.
 """
 
 from __future__ import annotations
@@ -20,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, partitions, table
 
 TOP, EVERY, SCALE = 5, 50, 256
-BLOCK, GROUP, QUERIES = 512, 16, 256
-HITS = "query_id long, vec_id long, score long"
+#: Vectors of a block (fewer where BYTES of them are reached), blocks of a group, groups and queries of a cell, queries that meet one copy of a group.
+BLOCK, BYTES, GROUP, SUMMARIES, QUERIES, PER_COPY = 128, 1 << 16, 64, 1024, 100_000, 10_000
+FLOOR, CEILING = -(1 << 63), (1 << 63) - 1
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -38,55 +47,87 @@ def integers(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("dim"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("x"))
 
 
-def _blocks(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows, dim = [], [], None
+BLOCKS = "kind int, dim int, grp long, place int, ids binary, rows binary"
+
 
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[0]], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([np.array(rows, np.int64).tobytes()], pa.binary())], names=["dim", "low", "ids", "rows"])
+def _blocks(size: int, group: int):
+    """Kind 0: a block, its place in its group; kind 1: a group's maxima (ids) and minima (rows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, dim, done = [], [], None, 0
+        high = low = None
+        first = TaskContext.get().partitionId() << 32
+
+        def row(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            values = [kind, dim, first + done // group, done % group, a.tobytes(), b.tobytes()]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["kind", "dim", "grp", "place", "ids", "rows"])
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal done, high, low
+            m = np.array(rows, np.int64)
+            high = m.max(0) if high is None else np.maximum(high, m.max(0))
+            low = m.min(0) if low is None else np.minimum(low, m.min(0))
+            yield row(0, np.array(ids, np.int64), m)
+            if last or done % group == group - 1:
+                yield row(1, high, low)
+                high = low = None
+                done = (done // group + 1) * group
+            else:
+                done += 1
+            ids.clear()
+            rows.clear()
 
         for batch in batches:
             for i, d, x in zip(*(batch[c].to_pylist() for c in ("vec_id", "dim", "x")), strict=True):
-                if ids and (d != dim or len(ids) == size):
-                    yield flush()
-                    ids, rows = [], []
+                if ids and (d != dim or len(ids) >= max(16, min(size, BYTES // (8 * max(1, d))))):
+                    yield from flush(d != dim)
                 dim = d
                 ids.append(i)
                 rows.append(x)
         if ids:
-            yield flush()
+            yield from flush(True)
 
     return run
 
 
-def blocked(vectors: DataFrame, size: int) -> DataFrame:
-    """(dim, low, ids, rows): blocks of that many vectors, by ranges of vec_id."""
-    n = partitions(vectors.sparkSession)
-    return vectors.repartitionByRange(n, "dim", "vec_id").sortWithinPartitions("dim", "vec_id").mapInArrow(_blocks(size), "dim int, low long, ids binary, rows binary")
+def blocked(whole: DataFrame, size: int = BLOCK, group: int = GROUP) -> DataFrame:
+    """The blocks and group summaries of integers(), by ranges of (dim, vec_id); groups are numbered within their range."""
+    n = partitions(whole.sparkSession)
+    return whole.repartitionByRange(n, "dim", "vec_id").sortWithinPartitions("dim", "vec_id").mapInArrow(_blocks(size, group), BLOCKS)
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in exact integers."""
+    """a @ b.T in exact integers, cut to the range of LONG."""
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
     if float(np.abs(a.astype(float)).max()) * float(np.abs(b.astype(float)).max()) * a.shape[1] < 2**53:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a.astype(object) @ b.astype(object).T
+    return np.clip(a.astype(object) @ b.astype(object).T, FLOOR, CEILING).astype(np.int64)
+
+
+def _bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The highest score that each query can have with a vector between low and high."""
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    top = float(np.abs(q.astype(float)).max(initial=0)) * float(max(np.abs(high.astype(float)).max(initial=0), np.abs(low.astype(float)).max(initial=0))) * q.shape[1]
+    if top < 2**52:
+        return _product(up, high) + _product(down, low)
+    return np.clip(up.astype(object) @ high.astype(object).T + down.astype(object) @ low.astype(object).T, FLOOR, CEILING).astype(np.int64)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    by = np.lexsort((ids, -scores) if scores.dtype != object else (ids, np.array([-s for s in scores], object)))[:k]
+    by = np.lexsort((ids, ~scores))[:k]  # ~x falls as x rises, without overflow
     return ids[by], scores[by]
 
 
 def search(blocks: list[tuple[np.ndarray, np.ndarray]], queries: tuple[np.ndarray, np.ndarray, list], k: int) -> Iterator[tuple[int, int, int]]:
-    """(query_id, vec_id, score): for each query its k best in these blocks, but for those below its start."""
+    """(query's place, vec_id, score): for each query its k best in these blocks, but for those below its start."""
     qids, q, starts = queries
     high, low = np.array([m.max(0) for _, m in blocks]), np.array([m.min(0) for _, m in blocks])
-    bounds = _product(np.maximum(q, 0), high) + _product(np.minimum(q, 0), low)
-    order = np.argsort(-bounds, axis=1, kind="stable")
+    bounds = _bounds(q, high, low)
+    order = np.argsort(~bounds, axis=1, kind="stable")
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(qids)
-    kth = [s if s is not None else None for s in starts]
+    kth = list(starts)
     live = np.arange(len(qids))
     for turn in range(len(blocks)):
         live = np.array([i for i in live if kth[i] is None or bounds[i, order[i, turn]] >= kth[i]], np.int64)
@@ -109,65 +150,152 @@ def search(blocks: list[tuple[np.ndarray, np.ndarray]], queries: tuple[np.ndarra
                     some, best = some[best >= least], best[best >= least]
                 held[i] = _best(np.concatenate([held[i][0], some]), np.concatenate([held[i][1], best]), k)
                 if len(held[i][1]) == k:
-                    kth[i] = max(int(held[i][1][-1]), kth[i] if kth[i] is not None else int(held[i][1][-1]))
+                    kth[i] = max(int(held[i][1][-1]), kth[i] if kth[i] is not None else FLOOR)
     for i, (ids, scores) in enumerate(held):
         for v, s in zip(ids.tolist(), scores.tolist(), strict=True):
-            yield int(qids[i]), v, int(s)
+            yield i, v, s
+
+
+def _rows(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * len(names))], names=names)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], key: list[str], start, step) -> Iterator[list[tuple]]:
+    """Rows sorted by key and role: start(row) takes those of role 0, step(rows) those of role 1, some at a time."""
+    here = None
+    for batch in batches:
+        out, asked = [], []
+        for r in batch.to_pylist():
+            now = tuple(r[c] for c in key)
+            if now != here or (asked and not r["role"]):
+                if asked:
+                    out += step(asked)
+                    asked = []
+                if now != here:
+                    here = now
+                    start(None)
+            if r["role"]:
+                asked.append(r)
+            else:
+                start(r)
+        if asked:
+            out += step(asked)
+        yield out
+
+
+def _matrix(rows: list[dict], column: str) -> np.ndarray:
+    return np.array([np.frombuffer(r[column], np.int64) for r in rows])
+
+
+def _judge(first: bool):
+    """Queries meet the summaries of a cell: the group with the highest bound, or all that reach the k-th score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: list[dict] = []
+
+        def start(r: dict | None) -> None:
+            groups.append(r) if r else groups.clear()
+
+        def step(asked: list[dict]) -> list[tuple]:
+            if not groups:
+                return []
+            numbers = np.array([g["grp"] for g in groups])
+            bounds = _bounds(_matrix(asked, "ids"), _matrix(groups, "ids"), _matrix(groups, "rows"))
+            at = np.array([r["at"] for r in asked])
+            if first:
+                best = bounds.argmax(1)
+                return list(zip(at.tolist(), numbers[best].tolist(), bounds[np.arange(len(at)), best].tolist(), strict=True))
+            least = np.array([FLOOR if r["kth"] is None else r["kth"] for r in asked])
+            i, j = np.nonzero((bounds >= least[:, None]) & (numbers != np.array([r["grp"] for r in asked])[:, None]))
+            return list(zip(at[i].tolist(), numbers[j].tolist(), bounds[i, j].tolist(), strict=True))
+
+        for out in _by_key(batches, ["dim", "cell", "part"], start, step):
+            yield _rows(out, ["at", "grp", "bound"])
+
+    return run
 
 
 def _meet(k: int):
+    """Queries meet the blocks of a group."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, blocks = None, []
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                key = (r["dim"], r["grp"])
-                if key != here:
-                    here, blocks = key, []
-                pair = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], np.int64).reshape(-1, r["dim"])
-                if not r["role"]:
-                    blocks.append(pair)
-                elif blocks:
-                    out += search(blocks, (*pair, r["starts"]), k)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)], names=["query_id", "vec_id", "score"])
+        blocks: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def start(r: dict | None) -> None:
+            if r is None:
+                blocks.clear()
+            else:
+                blocks.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], np.int64).reshape(-1, r["dim"])))
+
+        def step(asked: list[dict]) -> list[tuple]:
+            if not blocks:
+                return []
+            ids = np.array([r["query_id"] for r in asked], np.int64)
+            found = search(blocks, (ids, _matrix(asked, "ids"), [r["kth"] for r in asked]), k)
+            return [(asked[i]["at"], int(ids[i]), v, s) for i, v, s in found]
+
+        for out in _by_key(batches, ["dim", "grp", "part"], start, step):
+            yield _rows(out, ["at", "query_id", "vec_id", "score"])
 
     return run
 
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", place).where(F.col("rank") <= k)
+class Search:
+    """The search of one table: blocks, summaries, queries, and the three steps."""
+
+    def __init__(self, vectors: DataFrame, chosen, k: int = TOP, block: int = BLOCK, group: int = GROUP) -> None:
+        self.spark, self.k = vectors.sparkSession, k
+        self.scratch = Scratch(self.spark, "topk")
+        keep = self.scratch.keep
+        found = keep(blocked(integers(vectors), block, group), "blocks")
+        self.blocks, self.groups = found.where("kind = 0"), found.where("kind = 1")
+        asked = integers(vectors.where(chosen)).withColumn("at", F.monotonically_increasing_id())
+        self.queries = keep(asked.mapInArrow(_packed, "dim int, at long, query_id long, ids binary"), "queries")
+
+    def cells(self, extra: DataFrame) -> DataFrame:
+        """Queries (dim, at, query_id, ids, kth, grp) and group summaries, dealt to cells."""
+        n = partitions(self.spark)
+        # one row for each dimension
+        sizes = self.groups.groupBy("dim").agg(F.ceil(F.count("*") / SUMMARIES).cast("int").alias("cells"))
+        sizes = sizes.join(self.queries.groupBy("dim").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), "dim")
+        known = self.groups.join(F.broadcast(sizes), "dim").select("dim", F.pmod(F.xxhash64("grp"), "cells").cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "grp", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("kth"), "ids", "rows")
+        asked = extra.join(F.broadcast(sizes), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.pmod(F.xxhash64("at"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "grp", "at", "kth", "ids", F.lit(None).cast("binary").alias("rows"))
+        return known.union(asked).repartition(n, "dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "role")
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """(at, query_id, vec_id, score) of pairs (dim, grp, at, query_id, ids, kth): only their groups' blocks are dealt, and a group that many ask for in copies."""
+        n = partitions(self.spark)
+        wanted = pairs.groupBy("dim", "grp").agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies"))
+        blocks = self.blocks.join(wanted, ["dim", "grp"]).select("dim", "grp", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), F.lit(0).alias("role"), "place", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("kth"), "ids", "rows")
+        asked = pairs.join(wanted, ["dim", "grp"]).select("dim", "grp", F.pmod(F.xxhash64("at"), "copies").cast("int").alias("part"), F.lit(1).alias("role"), F.lit(0).alias("place"), "at", "query_id", "kth", "ids", F.lit(None).cast("binary").alias("rows"))
+        dealt = blocks.union(asked).repartition(n, "dim", "grp", "part").sortWithinPartitions("dim", "grp", "part", "role", "place")
+        return dealt.mapInArrow(_meet(self.k), "at long, query_id long, vec_id long, score long")
+
+    def run(self) -> DataFrame:
+        """(query_id, rank, vec_id, score)."""
+        keep, none = self.scratch.keep, F.lit(None).cast("long")
+        judged = self.cells(self.queries.withColumn("kth", none).withColumn("grp", none)).mapInArrow(_judge(True), "at long, grp long, bound long")
+        start = keep(judged.groupBy("at").agg(F.max_by("grp", F.struct("bound", "grp")).alias("grp")).join(self.queries, "at"), "start")
+        first = keep(self.scored(start.withColumn("kth", none)), "first")
+        kth = first.groupBy("at").agg(F.min("score").alias("kth"), F.count("*").alias("n")).select("at", F.when(F.col("n") >= self.k, F.col("kth")).alias("kth"))
+        asked = keep(start.join(kth, "at", "left"), "asked")
+        pairs = self.cells(asked).mapInArrow(_judge(False), "at long, grp long, bound long").select("at", "grp")
+        self.pairs = keep(pairs, "pairs")
+        more = self.scored(self.pairs.join(asked.drop("grp"), "at"))
+        hits = first.union(more)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return hits.withColumn("rank", place).where(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        vectors = [np.array(x, np.int64).tobytes() for x in batch["x"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["dim"], batch["at"], batch["vec_id"], pa.array(vectors, pa.binary())], names=["dim", "at", "query_id", "ids"])
 
 
 def top_k(vectors: DataFrame, chosen, k: int = TOP, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score) of the rows of vectors (vec_id, embedding) where chosen holds."""
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "topk")
-    whole = scratch.keep(integers(vectors), "integers")
-    # consecutive blocks, by range, form a group; a group's blocks are all that one task holds
-    parts = scratch.keep(blocked(whole, block), "blocks")
-    sizes = parts.groupBy("dim").count()
-    place = F.row_number().over(Window.partitionBy("dim").orderBy("low", "ids")) - 1
-    numbered = parts.select("dim", "low", "ids").withColumn("grp", F.floor(place / group).cast("int")).select(F.col("dim").alias("d"), F.col("low").alias("l"), F.col("ids").alias("i"), "grp")
-    docs = scratch.keep(parts.join(numbered, (F.col("dim") == F.col("d")) & (F.col("low") == F.col("l")) & (F.col("ids") == F.col("i"))).select("dim", "grp", F.lit(0).alias("role"), "low", "ids", "rows"), "groups")
-    asked = scratch.keep(blocked(whole.where(chosen), QUERIES), "queries")
-    n = partitions(spark)
-
-    def meet(docs: DataFrame, asked: DataFrame) -> DataFrame:
-        starts = F.array().cast("array<long>")
-        rows = docs.withColumn("starts", starts).unionByName(asked.withColumn("role", F.lit(1)).select("dim", "grp", "role", "low", "ids", "rows", "starts"))
-        return rows.repartition(n, "dim", "grp").sortWithinPartitions("dim", "grp", "role", "low").mapInArrow(_meet(k), HITS)
-
-    none = F.transform(F.sequence(F.lit(1), (F.length("ids") / 8).cast("int")), lambda _: F.lit(None).cast("long"))
-    first = meet(docs.where("grp = 0"), asked.withColumn("grp", F.lit(0)).withColumn("starts", none))
-    kth = scratch.keep(_ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("kth")).groupBy("q").agg(F.max("kth").alias("kth")), "first")
-    one = asked.select("dim", "low", "ids", "rows", F.posexplode(F.transform(F.sequence(F.lit(0), (F.length("ids") / 8).cast("int") - 1), lambda i: F.hex(F.substring(F.col("ids"), i * 8 + 1, F.lit(8))))).alias("at", "id"))
-    # the ids are little-endian longs
-    little = F.concat(*(F.substring("id", 15 - 2 * b, 2) for b in range(8)))
-    one = one.withColumn("q", F.conv(little, 16, -10).cast("long"))
-    started = one.join(kth, "q", "left").groupBy("dim", "low", "ids").agg(F.first("rows").alias("rows"), F.transform(F.array_sort(F.collect_list(F.struct("at", "kth"))), lambda s: s["kth"]).alias("starts"))
-    groups = sizes.select(F.col("dim").alias("d"), F.explode(F.sequence(F.lit(0), F.floor((F.col("count") - 1) / group).cast("int"))).alias("grp"))
-    spread = started.join(groups, F.col("dim") == F.col("d")).drop("d")
-    return _ranked(meet(docs, spread), k).select("query_id", "rank", "vec_id", "score")
+    return Search(vectors, chosen, k, block, group).run()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

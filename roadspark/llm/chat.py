@@ -8,7 +8,10 @@ two-level running sums (blocks of turns, then turns within a block).
 
 Edge cases: a null role is the participant "unknown"; null text is empty; null turns come first; rows
 that repeat a turn are ordered by role, then text, and all rendered; conversations of system turns
-only have no perspective; an empty table gives no rows; marker strings inside texts are broken up.
+only have no perspective; an empty table gives no rows; marker strings inside texts are broken up, and
+the characters of markers and line ends inside names are shown as _ (the columns perspective and speaker
+keep them); a long text is one segment; a long conversation's turns are dealt by blocks of BLOCK turns;
+other columns are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def segments(turns: DataFrame) -> DataFrame:
     said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"))
     people = said.where(F.col("speaker") != NOBODY).select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
     own = F.col("speaker") == F.col("perspective")
-    name = F.when(own, "assistant").when(F.col("speaker") == NOBODY, NOBODY).otherwise(F.concat(F.lit("user:"), "speaker"))
+    name = F.when(own, "assistant").when(F.col("speaker") == NOBODY, NOBODY).otherwise(F.concat(F.lit("user:"), F.regexp_replace("speaker", r"[<|>\r\n]", "_")))
     head = F.concat(F.lit("<|"), name, F.lit("|>\n"))
     rows = said.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
     rows = rows.select("conv_id", "perspective", "turn", "speaker", F.concat(head, "text", F.lit("<|end|>\n")).alias("rendered"), F.length(head).alias("head"), own.alias("own"))

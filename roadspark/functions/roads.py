@@ -79,4 +79,4 @@ def travel_time(total_seconds: Column) -> Column:
     """Minutes rounded half up, as "5 min", "1 h" or "1 h 5 min"."""
     minutes = F.floor(total_seconds / 60 + 0.5).cast("long")
     hours, rest = F.floor(minutes / 60).cast("long"), minutes % 60
-    return F.when(hours == 0, F.format_string("%d min", minutes)).when(rest == 0, F.format_string("%d h", hours)).otherwise(F.format_string("%d h %d min", hours, rest))
+    return F.when(minutes.isNull(), None).when(hours == 0, F.format_string("%d min", minutes)).when(rest == 0, F.format_string("%d h", hours)).otherwise(F.format_string("%d h %d min", hours, rest))

@@ -10,9 +10,14 @@ from roadspark.functions import geo, roads
 TAGS = ("highway", "maxspeed", "maxspeed_forward", "maxspeed_backward", "surface", "tracktype", "service")
 
 
+def tag_columns(tags: str = "tags") -> list[Column]:
+    """The seven tags of a map, as columns."""
+    return [F.col(tags)[t.replace("maxspeed_", "maxspeed:")].alias(t) for t in TAGS]
+
+
 def project_tags(ways: DataFrame) -> DataFrame:
     """(way_id, node_refs, oneway, the seven tags) of ways with a tags map."""
-    return ways.select("way_id", "node_refs", F.col("tags")["oneway"].alias("oneway"), *(F.col("tags")[t.replace("maxspeed_", "maxspeed:")].alias(t) for t in TAGS))
+    return ways.select("way_id", "node_refs", F.col("tags")["oneway"].alias("oneway"), *tag_columns())
 
 
 def way_edges(ways: DataFrame, keep: tuple[str, ...] = TAGS, only_driveable: bool = True) -> DataFrame:
@@ -107,5 +112,15 @@ def shard_graphs(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
+def cheapest(edges: DataFrame) -> DataFrame:
+    """(u, v, weight): of parallel edges the one with the least weight."""
+    return edges.groupBy("u", "v").agg(F.min("weight").alias("weight"))
+
+
+def overlay_locations(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, x, y) of the overlay's boundary nodes, once each; unlocated ones are left out."""
+    return boundary_locations(edges, nodes).select("node_id", "x", "y").distinct()
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(*(F.col({"u": "v", "v": "u"}.get(c, c)).alias(c) for c in edges.columns))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadspark import jobs
 from roadspark.functions import geo, roads
-from roadspark.operators import graph, paths, routing, stats
+from roadspark.operators import graph, paths, routing, stats, tiles
+from roadspark.scratch import Keeper
+from roadspark.sources import files, pbf
 
 from . import fixtures as fx
 
@@ -22,16 +22,12 @@ def _attached(s: SparkSession, d: str, mode: str = "time_s") -> DataFrame:
     return graph.weighted(graph.attach(graph.way_edges(fx.ways(s, d)), _nodes(s, d)), mode)
 
 
-def keeper(spark: SparkSession):
-    """keep(df, name): a table in spark.checkpoint.dir (a temporary folder where that is unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    root = f"{root}/roads-{uuid.uuid4().hex}"
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    return keep
+def _kept(s: SparkSession, d: str) -> tuple[Keeper, DataFrame, DataFrame]:
+    """(keep, nodes, edges): the located nodes and weighted edges, written once for queries that read them several times."""
+    keep = Keeper(s)
+    nodes = keep(_nodes(s, d), "nodes")
+    edges = graph.weighted(graph.attach(graph.way_edges(fx.ways(s, d)), nodes), "time_s")
+    return keep, nodes, keep(edges.select("u", "v", "weight", "shard_u", "shard_v"), "edges")
 
 
 def way_edges(s, d):
@@ -77,9 +73,8 @@ def tile_bbox_decode(s, d):
 
 
 def tile_core_owner(s, d):
-    tiles = _tiles(s, d).withColumn("box", geo.tile_box(F.col("name"), core=True)).select("name", "box")
-    # one row for each nation: at most 25
-    owned = _nodes(s, d).join(F.broadcast(tiles), geo.in_box(F.col("x"), F.col("y"), F.col("box")))
+    boxes = _tiles(s, d).withColumn("box", geo.tile_box(F.col("name"), core=True)).select("name", "box")
+    owned = tiles.assign(_nodes(s, d), boxes)
     return owned.groupBy("name").agg(F.count("*").alias("owned_nodes"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("id").alias("sum_id"))
 
 
@@ -129,55 +124,98 @@ def sssp_nation(s, d):
     w = F.col("u") * 13 % 17
     edges = u.select("u", ((F.col("u") + 1) % 25).alias("v"), w.alias("weight")).union(u.select("u", (F.col("u") * 7 + 3) % 25, w))
     seeds = u.select(F.col("u").alias("source"), F.col("u").alias("node"), F.lit(0).cast("long").alias("dist"))
-    return paths.relax(edges, seeds, ["source"], keeper(s)).select("source", "node", "dist")
+    return paths.relax(edges, seeds, ["source"], Keeper(s)).select("source", "node", "dist")
 
 
 def khop_dist(s, d):
-    edges = _attached(s, d).select("u", "v", "weight")
-    seeds = _nodes(s, d).where("id = 0").select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist"))
-    return paths.relax(edges, seeds, ["source"], keeper(s), rounds=6).select("node", "dist")
+    keep, nodes, edges = _kept(s, d)
+    seeds = nodes.where("id = 0").select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).cast("long").alias("dist"))
+    return paths.relax(edges.select("u", "v", "weight"), seeds, ["source"], keep, rounds=6).select("node", "dist")
 
 
-def _shortcuts(s, d, edges):
-    return paths.shortcuts(edges, graph.boundary_in(edges), graph.boundary_out(edges))
+def _shortcuts(keep: Keeper, edges: DataFrame) -> DataFrame:
+    return keep(paths.shortcuts(edges, graph.boundary_in(edges), graph.boundary_out(edges)), "shortcuts")
 
 
 def shortcuts(s, d):
-    return _shortcuts(s, d, _attached(s, d))
+    keep, _, edges = _kept(s, d)
+    return _shortcuts(keep, edges)
 
 
 def overlay_edges(s, d):
-    edges = _attached(s, d)
-    return paths.overlay(edges, _shortcuts(s, d, edges))
+    keep, _, edges = _kept(s, d)
+    return paths.overlay(edges, _shortcuts(keep, edges))
+
+
+def overlay_locations(s, d):
+    _, nodes, edges = _kept(s, d)
+    return graph.overlay_locations(edges, nodes)
 
 
 def snap_requests(s, d):
-    return routing.snapped(fx.requests(s, d), _nodes(s, d))
+    return routing.snapped(fx.requests(s, d), _nodes(s, d), Keeper(s))
+
+
+def snap_boundary_dists(s, d):
+    keep, nodes, edges = _kept(s, d)
+    ends = routing.snapped(fx.requests(s, d), nodes, keep).select("request_id", F.col("start_shard").alias("shard_id"), F.col("start_id").alias("node_id"))
+    return routing.boundary_distances(keep(ends, "ends"), edges, graph.boundary_out(edges))
 
 
 def route_same_shard(s, d):
-    return routing.route_same_shard(snap_requests(s, d), _attached(s, d)).select("request_id", "start_id", "end_id", "total_weight")
+    keep, nodes, edges = _kept(s, d)
+    return routing.route_same_shard(keep(routing.snapped(fx.requests(s, d), nodes, keep), "requests"), edges).select("request_id", "start_id", "end_id", "total_weight")
 
 
 def _cross(s, d):
-    keep = keeper(s)
-    edges = keep(_attached(s, d).select("u", "v", "weight", "shard_u", "shard_v"), "edges")
-    overlay = keep(paths.overlay(edges, _shortcuts(s, d, edges)), "overlay")
-    return routing.route_cross_shard(keep(snap_requests(s, d), "requests"), edges, overlay, graph.boundary_in(edges), graph.boundary_out(edges))
+    keep, nodes, edges = _kept(s, d)
+    overlay = keep(paths.overlay(edges, _shortcuts(keep, edges)), "overlay")
+    requests = keep(routing.snapped(fx.requests(s, d), nodes, keep), "requests")
+    return keep, nodes, edges, keep(routing.route_cross_shard(requests, edges, overlay, graph.boundary_in(edges), graph.boundary_out(edges), keep), "routes")
 
 
 def route_cross_shard(s, d):
-    return _cross(s, d).select("request_id", "total_weight", F.size("waypoints").alias("waypoints"))
+    return _cross(s, d)[3].select("request_id", "total_weight")
 
 
 def route_segments(s, d):
-    return routing.segments(_cross(s, d), _nodes(s, d))
+    """First and last node of every route's segments, and whether each begins where the one before ends."""
+    _, nodes, _, routes = _cross(s, d)
+    rows = routing.segments(routes, nodes)
+    line = rows.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("pos", "start_id", "end_id"))).alias("l"))
+    linked = F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.get("l", i)["start_id"] == F.get("l", i - 1)["end_id"])
+    return line.select("request_id", F.col("l")[0]["start_id"].alias("first_id"), F.element_at("l", -1)["end_id"].alias("last_id"), F.coalesce(F.when(F.size("l") > 1, linked), F.lit(True)).alias("linked"))
 
 
 def expand_segments(s, d):
-    found = keeper(s)(route_segments(s, d).where("expandable and start_id <> end_id"), "segments")
-    at = _nodes(s, d).select(F.col("id").alias("start_id"), "shard_id")
-    return routing.expand(found.join(at, "start_id"), _attached(s, d)).groupBy("request_id").agg(F.count("*").alias("segments"), F.sum("total_weight").alias("total_weight"))
+    """The weight of every cross-shard route, added up from its expanded segments and its bridges."""
+    keep, nodes, edges, routes = _cross(s, d)
+    asked = keep(routing.segments(routes, nodes).withColumnRenamed("pos", "index"), "segments")
+    done, errors = routing.expand_batch(asked, nodes, edges, keep)
+    bridges = graph.cheapest(edges.where("shard_u <> shard_v")).select(F.col("u").alias("start_id"), F.col("v").alias("end_id"), "weight")
+    rows = done.join(bridges, ["start_id", "end_id"], "left").groupBy("request_id").agg(F.sum(F.coalesce("total_weight", "weight")).alias("total_weight"))
+    return rows.join(errors.select("request_id"), "request_id", "left_anti")
+
+
+def expand_requests(s, d):
+    """Every request as one segment to expand: its status and weight."""
+    keep, nodes, edges = _kept(s, d)
+    ends = keep(routing.snapped(fx.requests(s, d), nodes, keep), "requests")
+    at = nodes.select("id", F.col("y").alias("lat"), F.col("x").alias("lng"))
+    for e in ("start", "end"):
+        ends = ends.join(at.select(F.col("id").alias(f"{e}_id"), F.col("lat").alias(f"{e}_lat"), F.col("lng").alias(f"{e}_lng")), f"{e}_id")
+    done, errors = routing.expand_batch(ends.withColumn("index", F.lit(0)), nodes, edges, keep)
+    good = done.select("request_id", F.when(F.col("total_weight").isNull(), "straight").otherwise("ok").alias("status"), "total_weight", (F.size("polyline") > 0).alias("has_line"))
+    return good.union(errors.select("request_id", "error", F.lit(None).cast("long"), F.lit(False)))
+
+
+def routes(s, d):
+    """Every request's response, its segments by their number, ends and points."""
+    keep, nodes, edges = _kept(s, d)
+    overlay = keep(paths.overlay(edges, _shortcuts(keep, edges)), "overlay")
+    far = fx.requests(s, d).where("request_id % 100 = 0").select((-F.col("request_id") - 1).alias("request_id"), F.col("start_lat") + 40, "start_lng", "end_lat", "end_lng")
+    found = routing.route(fx.requests(s, d).union(far), nodes, edges, overlay, graph.boundary_in(edges), graph.boundary_out(edges), keep)
+    return found.select("request_id", "status", "path_found", "total_weight", "travel_time", F.col("segments")[0]["start"]["node_id"].alias("first_id"), F.element_at("segments", -1)["end"]["node_id"].alias("last_id"), F.coalesce(F.forall("segments", lambda x: F.size(x["polyline"]) > 0), F.lit(False)).alias("has_lines"))
 
 
 def hrw_assign(s, d):
@@ -185,11 +223,11 @@ def hrw_assign(s, d):
 
 
 def latency_stats(s, d):
-    return stats.latency(fx.query_log(s, d))
+    return stats.latency(fx.query_log(s, d), Keeper(s))
 
 
 def load_summary(s, d):
-    return stats.load(fx.query_log(s, d))
+    return stats.load(fx.query_log(s, d), Keeper(s))
 
 
 def load_timeline(s, d):
@@ -204,11 +242,189 @@ def cache_speedup(s, d):
     return stats.speedup(fx.query_log(s, d))
 
 
+def category_cases(s, d):
+    """The first and cached lists of every category, shown as case:runs."""
+    lists = stats.by_category(latency_stats(s, d))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["test_case"], x["run_count"])), ",")
+    return lists.select("category", shown("first").alias("first"), shown("cached").alias("cached"))
+
+
+def case_filter(s, d):
+    cases = fx.query_log(s, d).select(F.concat_ws("-", "category", "test_case").alias("name"), "category", "test_case").distinct()
+    return files.of_category(cases, "click").union(files.of_category(cases, name="view-case_3"))
+
+
+def summary_report(s, d):
+    return stats.summary_report(latency_stats(s, d))
+
+
+def raw_report(s, d):
+    return stats.raw_report(fx.query_log(s, d).withColumn("segments_count", F.lit(None).cast("int")).withColumn("error", F.when(~F.col("success"), "timeout")))
+
+
+def load_report(s, d):
+    return stats.load_report(load_summary(s, d), "all", 8)
+
+
+def timeline_tsv(s, d):
+    """The lines of the timeline report, written and read back."""
+    path = Keeper(s).path("timeline")
+    report = stats.timeline_report(fx.query_log(s, d).withColumn("error", F.lit(None).cast("string")))
+    files.write_tsv(report, path, ["Load Test Timeline", "URL: none"], ["START_TIME", "REQUEST_ID"])
+    return s.read.text(path).select(F.col("value").alias("line"))
+
+
+def min_edges(s, d):
+    return graph.cheapest(_attached(s, d))
+
+
+def strict_attach(s, d):
+    joined = graph.attach(graph.way_edges(fx.ways(s, d)), _nodes(s, d), on_missing="fail")
+    return joined.groupBy("way_id").agg(F.count("*").alias("edges"), F.countDistinct("shard_u").alias("shards"))
+
+
+def _tag_map(names: list[str], given: dict | None = None):
+    """The map of tags of the columns that aren't null."""
+    values = {c: (given or {}).get(c, F.col(c)) for c in names}
+    return F.map_filter(F.map_from_arrays(F.array(*(F.lit(c.replace("maxspeed_", "maxspeed:")) for c in names)), F.array(*values.values())), lambda k, v: v.isNotNull())
+
+
+def tag_edges(s, d):
+    """Ways whose tags are a map, with a tag that no one reads."""
+    names = [*graph.TAGS, "oneway"]
+    ways = fx.ways(s, d).select("way_id", "node_refs", _tag_map([*names, "name"], {"name": F.lit("x")}).alias("tags"))
+    return graph.way_edges(graph.project_tags(ways)).select("way_id", "seq", "u", "v", "direction", *graph.TAGS)
+
+
+def stored_weights(s, d):
+    raw = F.when(F.col("c_custkey") % 50 == 0, F.lit(float("nan"))).when(F.col("c_custkey") % 50 == 1, F.lit(float("inf"))).otherwise(F.col("c_acctbal").cast("double") / 2)
+    return s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), roads.stored_weight(raw).alias("weight"))
+
+
+def travel_times(s, d):
+    seconds = F.col("o_orderkey").cast("long") * 37 % 20000
+    return s.read.parquet(f"{d}/orders.parquet").select(seconds.alias("seconds")).distinct().select("seconds", roads.travel_time(F.col("seconds")).alias("shown"))
+
+
+def world_cells(s, d):
+    """Cells of places all over the world, as numbers, as text and through a path."""
+    k = F.col("n_nationkey").cast("long")
+    rows = s.read.parquet(f"{d}/nation.parquet").select(k.alias("n"), (k * 37 % 160 - F.lit(79.5)).alias("lat"), (k * 101 % 350 - F.lit(174.5)).alias("lng"))
+    rows = rows.withColumn("shard_id", geo.s2_cell(F.col("lat"), F.col("lng"))).withColumn("text", geo.unsigned(F.col("shard_id")))
+    path = F.concat(F.lit("base/shard_id="), "text", F.lit("/edges/part-0"))
+    return rows.select("n", "shard_id", F.col("text").alias("shard_text"), files.signed(roads.shard_of_path(path)).alias("from_path"))
+
+
+def shard_tables(s, d):
+    """Nodes by shard, written and read back."""
+    keep, nodes, _ = _kept(s, d)
+    files.write_by_shard(nodes, keep.path("out"), "nodes")
+    return files.read_by_shard(s, keep.path("out"), "nodes")
+
+
+def bridge_table(s, d):
+    keep, _, edges = _kept(s, d)
+    files.write_flat(graph.bridges(edges), keep.path("bridges"), files.BRIDGES)
+    return files.read_bridges(s, keep.path("bridges"))
+
+
+def _graph_files(s, d):
+    """Both jobs: shard tables, then graph files, read back as bytes."""
+    keep = Keeper(s)
+    jobs.shard_tables(s, fx.nodes(s, d), fx.ways(s, d), keep.path("out"))
+    jobs.overlay(s, keep.path("out"), keep.path("serving"))
+    return keep.path("serving/graphs")
+
+
+def shard_files(s, d):
+    rows = files.decoded(files.read_bytes(s, f"{_graph_files(s, d)}/*/graph.pb"), shard=True)
+    return rows.select(files.signed(roads.shard_of_path(F.col("path"))).alias("shard_id"), "kind", "u", "v", "weight", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def overlay_file(s, d):
+    rows = files.decoded(files.read_bytes(s, f"{_graph_files(s, d)}/overlay_graph.pb"), shard=False)
+    return rows.select("kind", "u", "v", "weight", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def _tile_rows(s, d):
+    """The grid cut into PBF tiles that overlap, written, and read back: (owned nodes, owned edges, counts)."""
+    keep = Keeper(s)
+    nodes, ways = fx.nodes(s, d), fx.ways(s, d)
+    boxes = fx.tiles(s, d).withColumn("box", geo.tile_box(F.col("tile")))
+    inside = keep(tiles.assign(nodes, boxes).select("tile", "id", "x", "y"), "inside")
+    touched = ways.select("way_id", F.explode("node_refs").alias("id")).join(inside.select("tile", "id"), "id").select("tile", "way_id").distinct()
+    cut = touched.join(ways.select("way_id", "node_refs", _tag_map([*graph.TAGS, "oneway"]).alias("tags")), "way_id").select("tile", "way_id", "node_refs", "tags")
+    made = pbf.tile_files(inside, cut, F.col("tile")).withColumn("part", F.lit(0))
+    broken = s.createDataFrame([("tile_1_0_1_0_2_0_2_0.osm.pbf", 0, bytearray(b"\0\0\0\x05nope"))], "name string, part int, content binary")
+    keep(files.write_bytes(made.select("name", "part", "content").union(broken), keep.path("tiles")), "written")
+    rows = keep(pbf.scan(pbf.matched(s, f"{keep.path('tiles')}/*.osm.pbf"), tuple(roads.DEFAULT_KPH)), "rows")
+    name = F.element_at(F.split("tile", "/"), -1)
+    found = rows.withColumn("tile", name)
+    return found, tiles.enrich(pbf.nodes(found), tiles.tile_edges(pbf.ways(found)))
+
+
+def tile_scan(s, d):
+    return _tile_rows(s, d)[0].groupBy("tile", "kind").agg(F.count("*").alias("n"))
+
+
+def tile_nodes(s, d):
+    return _tile_rows(s, d)[1][0].select("tile", "id", "x", "y", "shard_id")
+
+
+def tile_owned_edges(s, d):
+    return _tile_rows(s, d)[1][1].select("tile", "way_id", "u", "v", "direction", "shard_u", "shard_v")
+
+
+def tile_counts(s, d):
+    counts = _tile_rows(s, d)[1][2]
+    shown = [F.array_join(F.coalesce(f"sample_{x}", F.array().cast("array<long>")), ",").alias(f"sample_{x}") for x in "uv"]
+    return counts.select("tile", "tile_nodes", "owned_nodes", "tile_edges", "owned_edges", "missing_u", "missing_v", *shown)
+
+
+def tile_totals(s, d):
+    return tiles.totals(_tile_rows(s, d)[1][2])
+
+
+def tile_distributions(s, d):
+    return tiles.distributions(_tile_rows(s, d)[1][2])
+
+
+def _regions(s, d):
+    k = F.col("r_regionkey").cast("int")
+    return s.read.parquet(f"{d}/region.parquet").select(k.alias("region"), (k * 3 - F.lit(4.0)).alias("min_lon"), (k * 2 + F.lit(50.0)).alias("min_lat"), (k * 3 - F.lit(2.25)).alias("max_lon"), (k * 2 + F.lit(51.3)).alias("max_lat"))
+
+
+def _box(c: str = ""):
+    return [F.round(f"{c}{b}", 6).alias(f"{c}{b}") for b in tiles.BOX]
+
+
+def grid_tiles(s, d):
+    return tiles.grid(_regions(s, d)).select("region", "tile", *_box())
+
+
+def tile_children(s, d):
+    root = (-4.0, 50.0, 9.0, 58.0)
+    factor = tiles.split_factor(F.col("region") * 1000, 100, 2, 4)
+    return tiles.children(_regions(s, d), factor, root).select("region", "n", "child", *_box(), *_box("out_"))
+
+
+def tile_assign(s, d):
+    return _nodes(s, d).select("id", tiles.tile_index(F.col("x"), F.col("y"), 20.8, 52.0, 21.2, 57.0, 0.1).alias("tile"))
+
+
+def split_tiles(s, d):
+    nodes = _nodes(s, d)
+    box = nodes.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.count("*")).first()
+    return tiles.split(nodes, tuple(box[:4]), max(1, box[4] // 3)).select("tile", "points", *_box())
+
+
 NAMES = [
     way_edges, order_way_edges, edge_speed, edge_weight_time, edge_weight_distance, node_shards, tile_bbox_decode, tile_core_owner, internal_edges,
     bridge_edges, bridge_summary, boundary_in, boundary_out, boundary_locations, dangling_edges, dedup_nodes_join, shard_graph_stats, sssp_nation,
-    khop_dist, shortcuts, overlay_edges, snap_requests, route_same_shard, route_cross_shard, route_segments, expand_segments, hrw_assign,
-    latency_stats, load_summary, load_timeline, category_summary, cache_speedup,
+    khop_dist, shortcuts, overlay_edges, overlay_locations, snap_requests, snap_boundary_dists, route_same_shard, route_cross_shard, route_segments, expand_segments,
+    expand_requests, routes, hrw_assign, latency_stats, load_summary, load_timeline, category_summary, category_cases, case_filter, cache_speedup, summary_report, raw_report, load_report,
+    timeline_tsv, min_edges, strict_attach, tag_edges, stored_weights, travel_times, world_cells, shard_tables, bridge_table, shard_files, overlay_file, tile_scan, tile_nodes,
+    tile_owned_edges, tile_counts, tile_totals, tile_distributions, grid_tiles, tile_children, tile_assign, split_tiles,
 ]
 
 
@@ -218,7 +434,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Name -> DuckDB SQL; routes over all requests are tested against brute force instead."""
+    """Name -> DuckDB SQL."""
     from .oracles import SQL
 
     return SQL

@@ -262,12 +262,15 @@ class Search:
         asked = extra.join(F.broadcast(sizes), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.pmod(F.xxhash64("at"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "grp", "at", "kth", "ids", F.lit(None).cast("binary").alias("rows"))
         return known.union(asked).repartition(n, "dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "role")
 
-    def scored(self, pairs: DataFrame) -> DataFrame:
+    def scored(self, pairs: DataFrame, tag: str) -> DataFrame:
         """(at, query_id, vec_id, score) of pairs (dim, grp, at, query_id, ids, kth): only their groups' blocks are dealt, and a group that many ask for in copies."""
         n = partitions(self.spark)
-        wanted = pairs.groupBy("dim", "grp").agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies"))
+        wanted = self.scratch.keep(pairs.groupBy("dim", "grp").agg(F.ceil(F.count("*") / PER_COPY).cast("int").alias("copies")), f"wanted-{tag}")
         blocks = self.blocks.join(wanted, ["dim", "grp"]).select("dim", "grp", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("part"), F.lit(0).alias("role"), "place", F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("kth"), "ids", "rows")
-        asked = pairs.join(wanted, ["dim", "grp"]).select("dim", "grp", F.pmod(F.xxhash64("at"), "copies").cast("int").alias("part"), F.lit(1).alias("role"), F.lit(0).alias("place"), "at", "query_id", "kth", "ids", F.lit(None).cast("binary").alias("rows"))
+        # at most a row for each PER_COPY pairs; so a group that many ask for is never one key
+        hot = wanted.where("copies > 1")
+        copies = F.coalesce("copies", F.lit(1))
+        asked = pairs.join(F.broadcast(hot), ["dim", "grp"], "left").select("dim", "grp", F.pmod(F.xxhash64("at"), copies).cast("int").alias("part"), F.lit(1).alias("role"), F.lit(0).alias("place"), "at", "query_id", "kth", "ids", F.lit(None).cast("binary").alias("rows"))
         dealt = blocks.union(asked).repartition(n, "dim", "grp", "part").sortWithinPartitions("dim", "grp", "part", "role", "place")
         return dealt.mapInArrow(_meet(self.k), "at long, query_id long, vec_id long, score long")
 
@@ -276,12 +279,12 @@ class Search:
         keep, none = self.scratch.keep, F.lit(None).cast("long")
         judged = self.cells(self.queries.withColumn("kth", none).withColumn("grp", none)).mapInArrow(_judge(True), "at long, grp long, bound long")
         start = keep(judged.groupBy("at").agg(F.max_by("grp", F.struct("bound", "grp")).alias("grp")).join(self.queries, "at"), "start")
-        first = keep(self.scored(start.withColumn("kth", none)), "first")
+        first = keep(self.scored(start.withColumn("kth", none), "first"), "first")
         kth = first.groupBy("at").agg(F.min("score").alias("kth"), F.count("*").alias("n")).select("at", F.when(F.col("n") >= self.k, F.col("kth")).alias("kth"))
         asked = keep(start.join(kth, "at", "left"), "asked")
         pairs = self.cells(asked).mapInArrow(_judge(False), "at long, grp long, bound long").select("at", "grp")
         self.pairs = keep(pairs, "pairs")
-        more = self.scored(self.pairs.join(asked.drop("grp"), "at"))
+        more = self.scored(keep(self.pairs.join(asked.drop("grp"), "at"), "asking"), "more")
         hits = first.union(more)
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return hits.withColumn("rank", place).where(F.col("rank") <= self.k).select("query_id", "rank", "vec_id", "score")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ SIZE, END = 2048, 1
 DIM, AXES, BITS = 256, 3, 12
 #: Entries of a worker's caches of tokenised words.
 CACHE = 500_000
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PROJECTION = np.random.default_rng(11).standard_normal((DIM, AXES))
 
 
@@ -69,6 +71,7 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.type = id_type(self.tokenizer)
+        self.code = "H" if self.type is np.uint16 else "I"
         steps = json.loads(self.tokenizer.to_str())
         self.by_word = [steps["normalizer"], steps["pre_tokenizer"]] == self.STEPS and all(t["content"].startswith("<|") for t in steps["added_tokens"])
         # bytes as the byte-level characters of the vocabulary: printable ones stand for themselves
@@ -82,7 +85,7 @@ class Words:
         found = self.parts.get(text)
         if found is None:
             shown = text if text.isascii() and text.isalpha() else "".join(self.chars[b] for b in text.encode())
-            found = np.array([t.id for t in self.model.tokenize(shown)], self.type).tobytes()
+            found = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(self.parts) >= CACHE:
                 self.parts.clear()
             self.parts[text] = found
@@ -92,8 +95,14 @@ class Words:
         text = raw.decode("utf-8", "replace")
         if "<|" in text or (not text.isascii() and max(text) >= "ɐ"):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
-        text = unicodedata.normalize("NFC", text).lower()
-        return b"".join(self.part(p) for p in self.SPLIT.findall(text))
+        # below U+0250 there is nothing to compose; letters and the marks behind them are what the pattern finds
+        low = text.lower()
+        if low.isalpha():
+            return self.part(low)
+        stem = low.rstrip(MARKS)
+        if stem.isalpha():
+            return self.part(stem) + self.part(low[len(stem) :])
+        return b"".join(self.part(p) for p in self.SPLIT.findall(unicodedata.normalize("NFC", text).lower()))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids with the end token, offsets) of the rows of a chunk."""

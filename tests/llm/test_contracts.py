@@ -328,3 +328,13 @@ def test_pipeline(spark, corpus):
     packed = corpus_pipeline.STAGES[4][1](spark, kept[3], SF)
     assert Counter(r.doc_id for r in packed.where("start = 0").collect()) == copies
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "quality classifier", "n-gram Jaccard join", "source mixing", "packing"]
+
+
+def test_words_equal_the_tokenizer():
+    """Every code point below U+0250 in four contexts, marks in every place, and contractions."""
+    words = packing.Words(packing.vocabulary_path())
+    texts = [" ".join(f.format(chr(c)) for c in range(1, 0x250)) for f in ("{}", "a{}b", "A{}", "{}'s")]
+    texts += ["don't. WE'LL, 'tis rock'n'roll' it's', x'' a.b. e.g., U.S.A.! (re) --x-- İstanbul, STRASSE ŉ's ǅ. 3rd 1,000. a_b_ __c__ é́ ́a"]
+    for _, _, data, offsets in K.chunks(pa.array(texts)):
+        ids, ends = words(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[*words.tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]

@@ -304,15 +304,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     whatever their names.
     """
     join = Join(docs)
-    rows = join.documents().where("n > 0")
-    found = join.scratch.keep(rows.groupBy("doc_id").agg(F.min("component").alias("component"), F.count("*").alias("rows")), "found")
+    found = join.documents().groupBy("doc_id").agg(F.min(F.when(F.col("n") > 0, F.col("component"))).alias("component"), F.count("*").alias("rows"))
+    found = join.scratch.keep(found.where("component is not null and (component <> doc_id or rows > 1)"), "found")
     key = F.coalesce(F.col("row.doc_id").cast("long"), F.xxhash64("row.text"))
     named = docs.select(F.struct(*docs.columns).alias("row")).withColumn("key", key)
+    one = named.join(found.select(F.col("doc_id").alias("key")), "key", "left_anti").select("row")
+    repeated = found.where("rows > 1")
+    if repeated.isEmpty():  # then no more is to be looked at, and the texts are dealt once
+        return one.select("row.*")
+    # the first rows of repeated ids, and rows without words that share an id with rows that have some
     wordy = F.coalesce(F.rlike(F.col("row.text"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    gone = found.where("component <> doc_id or rows > 1").select(F.col("doc_id").alias("key"))
-    one = named.join(gone, "key", "left_anti").select("row")
-    # few: the first rows of repeated ids, and rows without words that share an id with rows that have some
-    again = named.join(found.where("component = doc_id and rows > 1").select(F.col("doc_id").alias("key")), "key", "left_semi")
-    first = again.where(wordy).groupBy("key").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.to_json("row"))).alias("row")).select("row")
-    wordless = named.where(~wordy).join(gone, "key", "left_semi").select("row")
-    return one.union(first).union(wordless).select("row.*")
+    again = named.join(repeated.select(F.col("doc_id").alias("key"), (F.col("component") == F.col("doc_id")).alias("stays")), "key")
+    again = join.scratch.keep(again.withColumn("wordy", wordy).where("stays or not wordy"), "again")
+    first = again.where("wordy").groupBy("key").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.to_json("row"))).alias("row")).select("row")
+    return one.union(first).union(again.where("not wordy").select("row")).select("row.*")
